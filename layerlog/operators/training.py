@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import clocks, delivery, lateness, units
+from . import clocks, delivery, drift, lateness, structural, units
 
 ID = ["path", "line_number"]
 KEYS = ["device_id", "dedupe_key", "kind", "device_ts_raw", "job_id", "state", "received_at"]
@@ -25,6 +25,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return lateness.stale_hours(m.select("device_id", "event_ts", "received_at", "state", none.alias("bed_c"), none.alias("nozzle_c"), none.alias("chamber_c")))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return structural.rejects(table(spark, d, "unparsed"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return delivery.surplus(table(spark, d, "parsed_events").select(*ID, *KEYS)).select(*ID)
 
@@ -37,4 +41,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return clocks.misdated(table(spark, d, "parsed_events"), table(spark, d, "dim_printer"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(table(spark, d, "raw_records")).select("path", "change", "old_field", "new_field")
+
+
+def p7_table(spark: SparkSession, d: str) -> DataFrame:
+    return drift.unified(table(spark, d, "raw_records"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_table": p7_table}

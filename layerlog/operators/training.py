@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import clocks, delivery, drift, lateness, structural, units
+from . import clocks, delivery, drift, lateness, spikes, structural, units
 
 ID = ["path", "line_number"]
 KEYS = ["device_id", "dedupe_key", "kind", "device_ts_raw", "job_id", "state", "received_at"]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.implausible(table(spark, d, "clean_events"))
+
+
 def p2_messages(spark: SparkSession, d: str) -> DataFrame:
     """One row per status message with a stored event time, by the copy that p4 keeps."""
     e = table(spark, d, "parsed_events").select(*ID, *KEYS, "event_ts", "bed_temp", "nozzle_temp", "chamber_temp").where("kind = 'status'")
@@ -49,4 +53,4 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(table(spark, d, "raw_records"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_table": p7_table}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_table": p7_table}

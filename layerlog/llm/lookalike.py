@@ -26,7 +26,6 @@ GREEK = {
     "Α": "A", "Β": "B", "Ϲ": "C", "Ε": "E", "Η": "H", "Ι": "I", "Ϳ": "J", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X", "Υ": "Y", "Ζ": "Z",
 }
 HYPHENS = {"‐": "-", "‑": "-"}
-BREAKS = {"\r\n": "\n", "\r": "\n", " ": "\n", " ": "\n", "\x85": "\n"}
 #: compatibility forms drawn like their parts: ligatures and Roman numerals (ranges of code points)
 PARTS = ((0xFB00, 0xFB06), (0x2160, 0x217F), (0x0132, 0x0133), (0x01C7, 0x01CC), (0x2024, 0x2026))
 #: kinds of compatibility mapping that change width or font only
@@ -64,7 +63,6 @@ def build_table() -> dict[str, str]:
         image = U.normalize("NFC", "".join(letters.get(c, c) for c in nfd))
         if image != ch:
             table[ch] = image
-    table |= {a: b for a, b in BREAKS.items() if len(a) == 1}
     for ch, image in table.items():
         again = "".join(table.get(c, c) for c in image)
         if again != image:
@@ -73,33 +71,31 @@ def build_table() -> dict[str, str]:
 
 
 class Transducer:
-    """Longest match over clusters: CRLF, then base with marks, then single characters; everything else is copied."""
+    """Longest match over clusters: a base with its marks (and what is invisible between them), else a single character.
+
+    The characters that occur in a text decide what is needed: nothing, the table of single characters, or clusters as well. Line breaks, blanks in
+    number, letter case, digits, accents and superscripts stay as they are.
+    """
 
     def __init__(self):
-        self.table = table = build_table()
-        hidden = "".join(c for c, t in table.items() if t == "")
-        esc = lambda s: "".join(f"\\U{ord(c):08x}" for c in s)
-        single = esc("".join(c for c in table if ord(c) < _END))
-        mark = rf"[\p{{M}}{esc(hidden)}]"
-        self.pattern = regex.compile(rf"\r\n|[^\r\n]{mark}*\p{{M}}{mark}*|[{single}]")
+        self.table = build_table()
+        self.single = {ord(a): b for a, b in self.table.items()}
+        self.keys = frozenset(self.table)
+        hidden = "".join(f"\\U{ord(c):08x}" for c, t in self.table.items() if t == "")
+        self.cluster = regex.compile(rf"[^\p{{M}}{hidden}][{hidden}]*\p{{M}}[\p{{M}}{hidden}]*")
         self.image = lru_cache(maxsize=200_000)(self._image)
 
     def _image(self, cluster: str) -> str:
-        if cluster == "\r\n":
-            return "\n"
-        if len(cluster) == 1:
-            return self.table.get(cluster, cluster)
-        return U.normalize("NFC", "".join(self.table.get(c, c) for c in U.normalize("NFD", "".join(c for c in cluster if self.table.get(c) != "")))).translate(self._again)
-
-    @property
-    def _again(self):
-        # composing may give a character that has an image of its own
-        return {ord(a): b for a, b in self.table.items() if U.normalize("NFD", a) != a}
+        plain = U.normalize("NFD", cluster.translate(self.single)).translate(self.single)
+        return U.normalize("NFC", plain)
 
     def __call__(self, text: str) -> str:
         if text.isascii():
-            return text.replace("\r\n", "\n").replace("\r", "\n")
-        return self.pattern.sub(lambda m: self.image(m.group()), text)
+            return text
+        used = set(text)
+        if any(U.category(c)[0] == "M" for c in used):
+            text = self.cluster.sub(lambda m: self.image(m.group()), text)
+        return text.translate(self.single) if used & self.keys else text
 
 
 @lru_cache(maxsize=1)

@@ -51,7 +51,7 @@ class Store:
         if not live:
             return self.spark.createDataFrame([], SCHEMAS[table])
         base = os.path.join(self.root, "data", table)
-        return self.spark.read.option("basePath", base).schema(SCHEMAS[table] + ", _run string").parquet(*[os.path.join(base, d) for d in live]).drop("_run")
+        return self.spark.read.option("basePath", base).schema(SCHEMAS[table] + ", run string").parquet(*[os.path.join(base, d) for d in live]).drop("run")
 
     def plain(self, table: str, commit: dict) -> DataFrame:
         live = commit["tables"][table]
@@ -60,10 +60,10 @@ class Store:
     def write_dated(self, df: DataFrame, table: str, run: str) -> dict[str, list[str]]:
         """Appends a run's rows, one directory a date; {date: [directory]}."""
         base = os.path.join(self.root, "data", table)
-        target = os.path.join(base, f"_run={run}")
+        target = os.path.join(base, f"run={run}")
         rows = df.repartition("event_date").sortWithinPartitions("event_date", "device_id", "event_ts", "kind")
-        rows.write.partitionBy("event_date").option("compression", "zstd").parquet(target.replace("_run=", "run="))
-        made = sorted(n for n in os.listdir(os.path.join(base, f"run={run}")) if n.startswith("event_date="))
+        rows.write.partitionBy("event_date").option("compression", "zstd").parquet(target)
+        made = sorted(n for n in os.listdir(target) if n.startswith("event_date="))
         return {n.split("=", 1)[1]: [f"run={run}/{n}"] for n in made}
 
     def write_plain(self, df: DataFrame, table: str, run: str) -> str:
@@ -76,9 +76,11 @@ class Store:
             return self.spark.read.parquet(os.path.join(self.root, "data", name, commit["models"][name]))
         return self.plain(name, commit) if name == "unparsed" else self.partitions(name, commit)
 
-    def sweep(self, commit: dict) -> None:
-        """Deletes directories of runs that no snapshot needs."""
-        keep = {d.split("/")[0] for t in ("parsed_events", "clean_events") for ds in commit["tables"][t].values() for d in ds} | set(commit["tables"]["unparsed"]) | set(commit["models"].values())
+    def sweep(self, *commits: dict) -> None:
+        """Deletes directories of runs that none of the snapshots needs (the one in force, and the one before it, which may still be read)."""
+        keep: set[str] = set()
+        for c in commits:
+            keep |= {d.split("/")[0] for t in ("parsed_events", "clean_events") for ds in c["tables"][t].values() for d in ds} | set(c["tables"]["unparsed"]) | set(c["models"].values())
         data = os.path.join(self.root, "data")
         for t in os.listdir(data) if os.path.isdir(data) else []:
             for d in os.listdir(os.path.join(data, t)):
@@ -146,7 +148,7 @@ def run_pipeline(spark: SparkSession, root: str, parser_version: int = 1, reproc
     if todo or dirty:
         new = _model(store, new, run)
         store.publish(new)
-        store.sweep(new)
+        store.sweep(new, old)
     out = _report(store, new)
     out["run"] = {
         "files_processed": len(todo), "files_changed": len(changed), "files_total": len(files), "parser_version": parser_version, "reprocess": reprocess, "recovered_exports": dirty,

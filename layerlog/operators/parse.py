@@ -14,10 +14,9 @@ from ..functions.instants import fixed
 SOURCES = ("genA", "genB", "genC", "prusalink")
 KINDS = ("status", "job_start", "job_end", "error", "maintenance")
 #: JSON fields read, all as text; nested ones as objects
-JSON_SCHEMA = """t string, dev string, model string, fw string, k string, job string, state string, material string, layers string, ok string, code string,
- bed_temp string, temp_bed string, nozzle_temp string, temp_nozzle string, target_bed string, target_nozzle string, temp_unit string, ts string, type string, outcome string, received_at string,
- device struct<id:string,model:string,fw:string>, temps struct<bed_c:string,nozzle_c:string,chamber_c:string>, targets struct<bed_c:string,nozzle_c:string>, error struct<code:string>,
- status struct<printer:struct<state:string,temp_bed:string,temp_nozzle:string,target_bed:string,target_nozzle:string>>"""
+JSON_SCHEMA = """t:string, dev:string, model:string, fw:string, k:string, job:string, state:string, material:string, layers:string, ok:string, code:string, bed_temp:string,
+ temp_bed:string, nozzle_temp:string, temp_nozzle:string, target_bed:string, target_nozzle:string, temp_unit:string, ts:string, type:string, outcome:string, received_at:string, device:struct<id:string,model:string,fw:string>, temps:struct<bed_c:string,nozzle_c:string,chamber_c:string>,
+ targets:struct<bed_c:string,nozzle_c:string>, error:struct<code:string>, status:struct<printer:struct<state:string,temp_bed:string,temp_nozzle:string,target_bed:string,target_nozzle:string>>"""
 EVENT_COLUMNS = [
     "path", "line_number", "parser_version", "source", "device_id", "model", "firmware", "kind", "device_ts_raw", "received_at", "event_ts", "event_date", "timestamp_quality", "clock_offset_seconds",
     "job_id", "state", "material", "layers", "bed_temp", "nozzle_temp", "chamber_temp", "target_bed_temp", "target_nozzle_temp", "temp_unit", "outcome", "error_code", "dedupe_key",
@@ -29,12 +28,15 @@ EVENT_SCHEMA = """path string, line_number bigint, parser_version int, source st
 UNPARSED_SCHEMA = "path string, line_number bigint, parser_version int, source string, received_at timestamp, line string, reason string, device_id string, firmware string, firmware_source string"
 
 
-def valid_object(line: Column) -> Column:
-    """Is the whole text one JSON object? Two wrappings are parsed, as either alone lets some trailing text pass."""
+def read_object(line: Column, schema: str) -> dict[str, Column]:
+    """Two parses of a text that should be one JSON object. ``j``: the object, as a value of a wrapping object; ``a``: as the only item of a
+    wrapping list. Either alone lets some trailing text pass; together they admit one object and nothing else (see :func:`whole_object`)."""
     opts = {"allowSingleQuotes": "false"}
-    a = F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<map<string,string>>", opts)
-    b = F.from_json(F.concat(F.lit('{"w":'), line, F.lit("}")), "map<string,string>", opts)
-    return F.coalesce((F.size(a) == 1) & a[0].isNotNull() & (F.size(b) == 1), F.lit(False))
+    return {"a": F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<map<string,string>>", opts), "j": F.from_json(F.concat(F.lit('{"w":'), line, F.lit("}")), f"struct<w:struct<{schema}>>", opts)["w"]}
+
+
+def whole_object(a: str = "a", j: str = "j") -> Column:
+    return F.coalesce((F.size(a) == 1) & F.col(a)[0].isNotNull() & F.col(j).isNotNull(), F.lit(False))
 
 
 def number(x: Column) -> Column:
@@ -66,7 +68,8 @@ def _fields(a, b, c, p) -> Column:
 
 def extract(lines: DataFrame, version: int) -> DataFrame:
     """Every line with all fields as typed nullable columns, its event time, and ``reason`` (null: accepted)."""
-    rows = fixed(lines, j=F.from_json(F.when((F.col("source") != "genA") & valid_object(F.col("line")), F.col("line")), JSON_SCHEMA))
+    rows = fixed(lines, **read_object(F.when(F.col("source") != "genA", F.col("line")), JSON_SCHEMA))
+    rows = fixed(rows.withColumnRenamed("j", "_j"), j=F.when(whole_object("a", "_j"), F.col("_j"))).drop("a", "_j")
     line, head = F.col("line"), F.col("header")
     pick = lambda pattern: _blank(F.regexp_extract(line, pattern, 1))
     top = lambda pattern: F.regexp_extract(head, pattern, 1)
@@ -89,17 +92,20 @@ def extract(lines: DataFrame, version: int) -> DataFrame:
         job_id=_fields(F.coalesce(pick(" id=([^ ]+)"), F.nullif(pick(" job=([^ ]+)"), F.lit("-"))), j("job"), job_c, job_c),
         state=_fields(F.when(mark("THERM"), "PRINTING").otherwise("IDLE"), j("state"), j("state"), j(snap + "state")),
         material=_fields(pick('material="([^"]+)"'), j("material"), F.get_json_object(j("job"), "$.material"), F.get_json_object(j("job"), "$.material")),
-        layers=whole(_fields(pick(" layers=([^ ]+)"), j("layers"), F.get_json_object(j("job"), "$.layers"), F.get_json_object(j("job"), "$.layers"))),
-        bed_temp=number(_fields(pick(" bed=([^ ]+)"), F.coalesce(j("bed_temp"), j("temp_bed")), j("temps.bed_c"), j(snap + "temp_bed"))),
-        nozzle_temp=number(_fields(pick(" nozzle=([^ ]+)"), F.coalesce(j("nozzle_temp"), j("temp_nozzle")), j("temps.nozzle_c"), j(snap + "temp_nozzle"))),
-        chamber_temp=number(j("temps.chamber_c")),
-        target_bed_temp=number(_fields(pick(" tgt_bed=([^ ]+)"), j("target_bed"), j("targets.bed_c"), j(snap + "target_bed"))),
-        target_nozzle_temp=number(_fields(pick(" tgt_nozzle=([^ ]+)"), j("target_nozzle"), j("targets.nozzle_c"), j(snap + "target_nozzle"))),
+        layers=_fields(pick(" layers=([^ ]+)"), j("layers"), F.get_json_object(j("job"), "$.layers"), F.get_json_object(j("job"), "$.layers")),
+        bed_temp=_fields(pick(" bed=([^ ]+)"), F.coalesce(j("bed_temp"), j("temp_bed")), j("temps.bed_c"), j(snap + "temp_bed")),
+        nozzle_temp=_fields(pick(" nozzle=([^ ]+)"), F.coalesce(j("nozzle_temp"), j("temp_nozzle")), j("temps.nozzle_c"), j(snap + "temp_nozzle")),
+        chamber_temp=j("temps.chamber_c"),
+        target_bed_temp=_fields(pick(" tgt_bed=([^ ]+)"), j("target_bed"), j("targets.bed_c"), j(snap + "target_bed")),
+        target_nozzle_temp=_fields(pick(" tgt_nozzle=([^ ]+)"), j("target_nozzle"), j("targets.nozzle_c"), j(snap + "target_nozzle")),
         temp_unit=F.when(F.col("source") == "genB", F.coalesce(j("temp_unit"), F.lit("C"))).otherwise("C"),
         outcome=_fields(said(result, "ok", "fail"), said(j("ok"), "true", "false"), said(j("outcome"), "success", "failure"), said(j("outcome"), "success", "failure")),
         error_code=_fields(pick(" code=([^ ]+)"), j("code"), j("error.code"), j("error.code")),
         is_object=F.col("j").isNotNull(),
     )
+    # texts are read once above; what follows only refers to them
+    numbers = {c: number(F.col(c)) for c in ("bed_temp", "nozzle_temp", "chamber_temp", "target_bed_temp", "target_nozzle_temp")}
+    rows = rows.withColumns(numbers | {"layers": whole(F.col("layers"))})
     offset_us = F.unix_micros("received") - F.unix_micros("header_ts")
     shifted = F.timestamp_micros(F.unix_micros(_naive(F.col("device_ts_raw"))) + offset_us)
     from_ms = (number(F.col("device_ts_raw")) / 1000).try_cast("timestamp")

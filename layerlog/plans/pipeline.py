@@ -21,6 +21,7 @@ from ..operators import models, parse, quality
 from ..session import cut
 from ..sources.landing import Upload, decode, discover, read_uploads
 
+SPREAD = 32  #: most files of one date in one run
 MODELS = ("fact_print_job", "agg_status_hourly", "dim_printer")
 CLEAN_SCHEMA = """path string, line_number bigint, parser_version int, source string, device_id string, model string, firmware string, kind string, device_ts_raw string, received_at timestamp, event_ts timestamp,
  event_date date, timestamp_quality string, clock_offset_seconds double, job_id string, state string, material string, layers int, outcome string, error_code string, dedupe_key string, bed_c double, nozzle_c double,
@@ -61,7 +62,8 @@ class Store:
         """Appends a run's rows, one directory a date; {date: [directory]}."""
         base = os.path.join(self.root, "data", table)
         target = os.path.join(base, f"run={run}")
-        rows = df.repartition("event_date").sortWithinPartitions("event_date", "device_id", "event_ts", "kind")
+        # a date may hold most of a run: it is spread by device; adaptive execution joins what is small
+        rows = df.repartition("event_date", F.pmod(F.xxhash64("device_id", "dedupe_key"), F.lit(SPREAD))).sortWithinPartitions("event_date", "device_id", "event_ts", "kind")
         rows.write.partitionBy("event_date").option("compression", "zstd").parquet(target)
         made = sorted(n for n in os.listdir(target) if n.startswith("event_date="))
         return {n.split("=", 1)[1]: [f"run={run}/{n}"] for n in made}
@@ -162,7 +164,9 @@ def _ingest(store: Store, new: dict, run: str, todo: list[Upload], changed: list
     """Parses files, withdraws what changed files said before, decides affected messages again. Fills the commit; returns the clean dates touched."""
     spark = store.spark
     uploads = read_uploads(spark, [f.path for f in todo])
-    extracted = cut(parse.extract(decode(uploads), version))
+    staged = os.path.join(store.root, "data", "staged", f"run={run}")  # columns are read one kind of table at a time
+    parse.extract(decode(uploads), version).write.parquet(staged)
+    extracted = spark.read.parquet(staged)
     batch, rejected = parse.accepted(extracted, version), parse.quarantine(extracted, version)
     first = not new["manifest"]
     affected = batch.select("dedupe_key")
@@ -178,10 +182,14 @@ def _ingest(store: Store, new: dict, run: str, todo: list[Upload], changed: list
             new["tables"]["parsed_events"] = {d: v for d, v in new["tables"]["parsed_events"].items() if d not in days} | made
         kept = store.plain("unparsed", new).join(F.broadcast(gone), "path", "left_anti")
         new["tables"]["unparsed"] = [store.write_plain(kept, "unparsed", run + "-kept")]
-    for day, dirs in store.write_dated(batch, "parsed_events", run).items():
+    done = quality.side_by_side({
+        "parsed": lambda: store.write_dated(batch, "parsed_events", run), "unparsed": lambda: store.write_plain(rejected, "unparsed", run),
+        "counts": lambda: {r.path: (r.lines, r.parsed) for r in quality.line_counts(extracted).collect()},  # one row a file of this run
+    })
+    for day, dirs in done["parsed"].items():
         new["tables"]["parsed_events"].setdefault(day, []).extend(dirs)
-    new["tables"]["unparsed"].append(store.write_plain(rejected, "unparsed", run))
-    counts = {r.path: (r.lines, r.parsed) for r in quality.line_counts(extracted).collect()}  # one row a file of this run
+    new["tables"]["unparsed"].append(done["unparsed"])
+    counts = done["counts"]
     for f in todo:
         lines, parsed = counts.get(f.path, (0, 0))
         source = next((p.split("=", 1)[1] for p in f.path.split("/") if p.startswith("source=")), "")
@@ -205,15 +213,25 @@ def _ingest(store: Store, new: dict, run: str, todo: list[Upload], changed: list
 def _model(store: Store, commit: dict, run: str) -> dict:
     clean = store.partitions("clean_events", commit)
     built = {"fact_print_job": models.job_fact(clean), "agg_status_hourly": models.status_hourly(clean), "dim_printer": models.device_dim(clean)}
-    out = {**commit, "models": {name: store.write_plain(df, name, run + "-" + uuid.uuid4().hex[:8]) for name, df in built.items()}, "dirty": False}
-    return out
+    work = {name: (lambda name=name, df=df: store.write_plain(df, name, run + "-" + uuid.uuid4().hex[:8])) for name, df in built.items()}
+    return {**commit, "models": quality.side_by_side(work), "dirty": False}
 
 
 def _report(store: Store, commit: dict) -> dict:
-    tables = {"parsed_events": store.partitions("parsed_events", commit), "clean_events": store.partitions("clean_events", commit), "unparsed": store.plain("unparsed", commit)}
-    tables |= {m: store.spark.read.parquet(os.path.join(store.root, "data", m, commit["models"][m])) for m in MODELS}
-    manifest = store.spark.createDataFrame([(m["source"], m["lines"], m["parsed"]) for m in commit["manifest"].values()], "source string, lines long, parsed long")
-    out = quality.report(tables, manifest)
+    """The quality report of a snapshot; made once for each and kept beside it."""
+    kept = os.path.join(store.root, "state", "report.json")
+    of = hashlib.sha256(json.dumps([commit["tables"], commit["models"], sorted((p, m["lines"], m["parsed"]) for p, m in commit["manifest"].items())], sort_keys=True).encode()).hexdigest()
+    out = None
+    if os.path.exists(kept):
+        with open(kept) as f:
+            old = json.load(f)
+        out = old["report"] if old["of"] == of else None
+    if out is None:
+        tables = {"parsed_events": store.partitions("parsed_events", commit), "clean_events": store.partitions("clean_events", commit), "unparsed": store.plain("unparsed", commit)}
+        tables |= {m: store.spark.read.parquet(os.path.join(store.root, "data", m, commit["models"][m])) for m in MODELS}
+        manifest = store.spark.createDataFrame([(m["source"], m["lines"], m["parsed"]) for m in commit["manifest"].values()], "source string, lines long, parsed long")
+        out = quality.report(tables, manifest)
+        _write_json(kept, {"of": of, "report": out})
     size = lambda d: sum(os.path.getsize(os.path.join(t, n)) for t, _, ns in os.walk(d) for n in ns)
     out["bytes"] = {"landing": size(os.path.join(store.root, "landing"))} | {t: size(os.path.join(store.root, "data", t)) for t in (*SCHEMAS, *MODELS)}
     return out

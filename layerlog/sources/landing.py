@@ -33,9 +33,21 @@ def discover(landing: str) -> list[Upload]:
     return sorted(out, key=lambda u: u.path)
 
 
+#: more files than this are read by their folders, as a list of paths is looked up one by one
+LISTED = 200
+
+
 def read_uploads(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, content, source, received_at, header), one row a file; source and receipt are taken from the path. Empty files have no row."""
-    raw = spark.read.text(paths, wholetext=True).withColumn("path", F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/"))
+    named = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    if len(paths) <= LISTED:
+        raw = spark.read.text(paths, wholetext=True).withColumn("path", named)
+    else:
+        folders = sorted({os.path.dirname(p) for p in paths})
+        raw = spark.read.text(folders, wholetext=True, pathGlobFilter="*.{txt,jsonl}").withColumn("path", named)
+        there = sum(e.name.endswith(SUFFIXES) for f in folders for e in os.scandir(f))
+        if there > len(paths):  # other files lie in the same folders; the list of paths is the planner's own
+            raw = raw.join(F.broadcast(spark.createDataFrame([(p,) for p in paths], "path string")), "path", "left_semi")
     seconds = F.regexp_extract("path", "__([0-9]+)", 1).try_cast("double")
     return raw.select("path", F.col("value").alias("content"), F.regexp_extract("path", "source=([^/]+)", 1).alias("source"), seconds.try_cast("timestamp").alias("received_at"), F.substring_index("value", "\n", 1).alias("header"))
 

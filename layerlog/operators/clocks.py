@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.instants import US, explicit, fixed, in_zone, with_written
+from ..functions.instants import US, explicit, fixed, in_zone, with_written, zones
 
 SLACK_US = 300 * US
 DELAY_US = 30 * 86_400 * US
@@ -27,8 +27,8 @@ def estimate_zones(free: DataFrame, devices: DataFrame) -> DataFrame:
     combined before the shuffle. A device without a declared zone takes the one with the fewest violations, then the least median delay, then
     the first by name. Null receipts violate nothing. No candidates: no rows.
     """
-    known = devices.select("tz_name").where("tz_name is not null").distinct().agg(F.sort_array(F.collect_set("tz_name")).alias("zones"))
-    tried = free.crossJoin(F.broadcast(known)).select("device_id", "received_us", "us", F.explode("zones").alias("zone"))  # one row of at most a few hundred names
+    used = [r.tz_name for r in devices.select("tz_name").distinct().collect()]  # names of zones, at most those of the tz database
+    tried = free.select("device_id", "received_us", "us", F.explode(F.array(*[F.lit(z) for z in sorted(zones() & {*used})]).cast("array<string>")).alias("zone"))
     at = in_zone(F.col("us"), F.col("zone"))
     bad = (at > F.col("received_us") + SLACK_US) | (at < F.col("received_us") - DELAY_US) | at.isNull()
     score = tried.groupBy("device_id", "zone").agg(F.avg(F.coalesce(bad.cast("double"), F.lit(0.0))).alias("bad"), F.avg(F.abs(F.col("received_us") - at)).alias("delay"))

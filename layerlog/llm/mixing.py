@@ -128,8 +128,8 @@ def mixture(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, s
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, tokens, documents, most_copies) of each source of the targets; nothing taken: zeros."""
     got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("documents"), F.max("copies").alias("most_copies"))
-    whole = mixed.agg(F.sum(F.col("tokens") * F.col("copies")).alias("_all"))
-    return targets.join(got, "source", "left").crossJoin(F.broadcast(whole)).select(
-        "source", "target_share", F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)).alias("actual_share"),
+    whole = got.agg(F.sum("tokens")).first()[0] or 0
+    return targets.join(got, "source", "left").select(
+        "source", "target_share", F.coalesce(F.try_divide(F.col("tokens"), F.lit(whole)), F.lit(0.0)).alias("actual_share"),
         F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
     )

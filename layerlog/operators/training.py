@@ -16,19 +16,26 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible(table(spark, d, "clean_events"))
 
 
-def p2_messages(spark: SparkSession, d: str) -> DataFrame:
-    """One row per status message with a stored event time, by the copy that p4 keeps."""
-    e = table(spark, d, "parsed_events").select(*ID, *KEYS, "event_ts", "bed_temp", "nozzle_temp", "chamber_temp").where("kind = 'status'")
-    # copies share their kind, so other kinds can be left out before the copies are compared
-    return delivery.keep_one(e).where("event_ts is not null")
-
-
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("double")
     m = delivery.keep_one(table(spark, d, "parsed_events").select(*ID, *KEYS, "event_ts").where("kind = 'status'"))
     return lateness.stale_hours(m.select("device_id", "event_ts", "received_at", "state", none.alias("bed_c"), none.alias("nozzle_c"), none.alias("chamber_c")))
 
 
+def p2_hours(spark: SparkSession, d: str) -> DataFrame:
+    """The hours themselves, in °C: as published, as corrected, and how many messages came late or too late."""
+    temps = ["temp_unit", "bed_temp", "nozzle_temp", "chamber_temp", "target_bed_temp", "target_nozzle_temp"]
+    e = table(spark, d, "parsed_events").select(*ID, *KEYS, "event_ts", *temps).where("kind = 'status'")
+    m = units.status_units(delivery.keep_one(e)).withColumn("chamber_c", F.col("chamber_temp"))
+    return lateness.corrected_hours(m.select("device_id", "event_ts", "received_at", "state", "bed_c", "nozzle_c", "chamber_c"))
+
+
+def p3_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The waiting lines that load under version 2, as typed fields."""
+    waiting = table(spark, d, "unparsed").where("reason is null")
+    return structural.load_lines(waiting).where("verdict is null").drop("verdict")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return structural.rejects(table(spark, d, "unparsed"))
 
@@ -41,6 +48,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return units.foreign_units(table(spark, d, "parsed_events"))
 
 
+def p5_celsius(spark: SparkSession, d: str) -> DataFrame:
+    """Every status row with its true unit and its values in °C."""
+    need = [*ID, "device_id", "job_id", "kind", "temp_unit", "bed_temp", "nozzle_temp", "target_bed_temp", "target_nozzle_temp"]
+    return units.status_units(table(spark, d, "parsed_events").select(*need)).select(*ID, "unit", "label_unit", "bed_c", "nozzle_c", "target_bed_c", "target_nozzle_c")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return clocks.misdated(table(spark, d, "parsed_events"), table(spark, d, "dim_printer"))
 
@@ -53,4 +66,4 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(table(spark, d, "raw_records"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_table": p7_table}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_hours": p2_hours, "p3_found": p3_found, "p3_rows": p3_rows, "p5_celsius": p5_celsius, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_table": p7_table}

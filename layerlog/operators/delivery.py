@@ -8,7 +8,8 @@ Two kinds of identifier are told apart.
 * Every other identifier (digests, free text, null) is *malformed* for that purpose and is resolved by exact keyed lookup
   (:func:`message_id`, :func:`surplus`).
 
-:func:`keep_one` and :func:`surplus` take both through one plan.  Two compact shuffles find the messages with more than one copy (hashes only,
+:func:`keep_one` and :func:`surplus` look up identifiers of both kinds exactly, as a whole table is at hand; :func:`accept_batch` takes one batch of a
+stream, numbers by ranges and all else by lookup among the ids of earlier batches.  Two compact shuffles find the messages with more than one copy (hashes only,
 combined before the shuffle, so a group holding a third of all rows arrives as one row per task); only rows of such messages are compared in
 full.  No group is collected.
 """
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEQUENCE = r"^(.*?[^0-9a-fA-F])?([0-9]{1,18})$"
+#: what identifies a message of `parsed_events` on its device if its key was lost
+REST = ("kind", "device_ts_raw", "job_id", "state")
 
 
 def _digest(*cols: Column) -> Column:
@@ -27,12 +30,12 @@ def _digest(*cols: Column) -> Column:
     return F.unhex(F.md5(F.concat(*parts)))
 
 
-def natural_id(device="device_id", rest=("kind", "device_ts_raw", "job_id", "state")) -> Column:
+def natural_id(device="device_id", rest=REST) -> Column:
     """What identifies a message whose key was lost. Nulls equal nulls."""
     return _digest(F.col(device), *(F.col(c) for c in rest))
 
 
-def message_id(df: DataFrame, key="dedupe_key", device="device_id", rest=("kind", "device_ts_raw", "job_id", "state")) -> DataFrame:
+def message_id(df: DataFrame, key="dedupe_key", device="device_id", rest=REST) -> DataFrame:
     """Adds ``_mid``. Keyed rows: device and key, letter case ignored. Keyless rows: the least key of a keyed row with the same natural id, else the natural id itself."""
     keyed = df.where(F.col(key).isNotNull()).withColumn("_mid", _digest(F.col(device), F.lower(F.col(key))))
     keyless = df.where(F.col(key).isNull()).withColumn("_nid", natural_id(device, rest))
@@ -127,3 +130,32 @@ def accept_sequences(batch: DataFrame, seen: DataFrame, order=("received_at", "p
     fresh = numbered.join(blocks, hit, "left_anti").select(*cols)
     state = merge_ranges(seen.select("_producer", "lo", "hi").unionByName(fresh.select("_producer", F.col("_seq").alias("lo"), F.col("_seq").alias("hi"))), block)
     return fresh, state
+
+
+def accept_batch(batch: DataFrame, seen: DataFrame, known: DataFrame, key: str, producer: str, order=("received_at", "path", "line_number"), rest=REST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One batch of a stream with identifiers of any kind: (accepted rows, new ranges, new ids). Each message is accepted once over all batches.
+
+    `seen` holds the ranges (_producer, lo, hi), `known` the digests (_key, _nid) of key and natural id of all earlier messages; the third result
+    is to be added to it. Keys: letter case ignored unless they are numbers. A null key is looked up by the natural id (`producer` and `rest`):
+    a row whose natural id is known goes, else it belongs to the least key of its batch with that natural id, else it stands for itself. If a
+    message was accepted without a key, the first key to come with its natural id (the least one in a batch) is its own, and goes.
+    """
+    cols = batch.columns
+    seq, odd = split_identifier(batch, key, producer)
+    seq = seq.withColumn("_key", _digest(F.col("_producer.p"), F.col("_producer.s"), F.col("_seq")))
+    odd = odd.withColumn("_key", F.when(F.col(key).isNotNull(), _digest(F.col(producer), F.lower(F.col(key)))))
+    rows = seq.unionByName(odd, allowMissingColumns=True).withColumn("_nid", natural_id(producer, rest))
+    keyed, bare = rows.where("_key is not null"), rows.where("_key is null").select(*cols, "_nid")
+    least = keyed.join(bare.select("_nid").distinct(), "_nid", "left_semi").groupBy("_nid").agg(F.min(F.struct("_key", "_producer", "_seq")).alias("_least"))
+    bare = bare.join(known.select("_nid").distinct(), "_nid", "left_anti").join(least, "_nid", "left").select(*cols, "_nid", "_least.*")
+    told = keyed.unionByName(bare)
+
+    numbered, ranges = accept_sequences(told.where("_seq is not null"), seen, order)
+    other = told.where("_seq is null")
+    first = other.groupBy("_key", F.when(F.col("_key").isNull(), F.col("_nid")).alias("_own")).agg(F.min_by(F.struct(*other.columns), F.struct(*order)).alias("_row")).select("_row.*")
+    exact = first.join(known.select("_key").distinct(), "_key", "left_anti")
+
+    waiting = known.groupBy("_nid").agg(F.count("_key").alias("_n")).where("_n = 0").select("_nid")
+    late = keyed.join(waiting, "_nid", "left_semi").groupBy("_nid").agg(F.min("_key").alias("_key")).select("_key").distinct()
+    fresh = numbered.unionByName(exact).join(late, "_key", "left_anti").select(*cols)
+    return fresh, ranges, told.select("_key", "_nid").distinct().join(known, ["_key", "_nid"], "left_anti")

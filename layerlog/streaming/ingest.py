@@ -29,11 +29,13 @@ def follow_landing(spark: SparkSession, root: str, parser_version: int = 1, chec
 
 
 class SequenceSink:
-    """foreachBatch target that accepts every sequence number of a producer once. The ranges seen lie in `state`, one version a batch, so that a batch
-    that runs again starts from the same state."""
+    """foreachBatch target that accepts every message of a producer once: sequence numbers by the ranges seen, all other identifiers and null by exact
+    lookup. The ranges lie in `state`, one version a batch, the ids in `state`/ids, what is new in each batch, so that a batch that runs again starts
+    from the same state. `rest` identifies a message without a key, by default as in :mod:`..operators.delivery`; where a batch has other columns than
+    those, a row without a key is a copy only of a row that equals it in all columns but the key."""
 
-    def __init__(self, spark: SparkSession, state: str, out: str, key: str, producer: str, order: tuple[str, ...]):
-        self.spark, self.state, self.out, self.key, self.producer, self.order = spark, state, out, key, producer, order
+    def __init__(self, spark: SparkSession, state: str, out: str, key: str, producer: str, order: tuple[str, ...], rest: tuple[str, ...] | None = None):
+        self.spark, self.state, self.out, self.key, self.producer, self.order, self.rest = spark, state, out, key, producer, order, rest
 
     def _seen(self, batch_id: int) -> DataFrame:
         schema = "_producer struct<p:string,s:string>, lo bigint, hi bigint"
@@ -41,8 +43,19 @@ class SequenceSink:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.state}/v{batch_id - 1}")
 
+    def _known(self, batch_id: int) -> DataFrame:
+        schema = "_key binary, _nid binary, batch bigint"
+        if batch_id == 0:
+            return self.spark.createDataFrame([], schema).drop("batch")
+        return self.spark.read.schema(schema).parquet(f"{self.state}/ids").where(F.col("batch") < batch_id).drop("batch")
+
+    def _rest(self, batch: DataFrame) -> tuple[str, ...]:
+        if self.rest is not None:
+            return self.rest
+        return delivery.REST if set(delivery.REST) <= set(batch.columns) else tuple(c for c in batch.columns if c not in (self.key, self.producer))
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        seq, _ = delivery.split_identifier(batch, self.key, self.producer)
-        fresh, state = delivery.accept_sequences(seq, self._seen(batch_id), self.order)
-        fresh.drop("_producer", "_seq").write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
-        state.write.mode("overwrite").parquet(f"{self.state}/v{batch_id}")
+        fresh, ranges, ids = delivery.accept_batch(batch, self._seen(batch_id), self._known(batch_id), self.key, self.producer, self.order, self._rest(batch))
+        fresh.write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
+        ranges.write.mode("overwrite").parquet(f"{self.state}/v{batch_id}")
+        ids.write.mode("overwrite").parquet(f"{self.state}/ids/batch={batch_id}")

@@ -59,6 +59,8 @@ def build_table() -> dict[str, str]:
         image = ch
         if d.startswith(SAME) or (d.startswith("<compat>") and any(a <= o <= b for a, b in PARTS)):
             image = U.normalize("NFKC", ch)
+            if "\uffa1" <= ch <= "\uffdc":  # half-width Hangul letters stand alone, NFKC would make parts of syllables of them
+                image = chr(int(d.split()[1], 16))
         elif ch == "µ":
             image = "μ"
         nfd = U.normalize("NFD", image)
@@ -75,7 +77,8 @@ def build_table() -> dict[str, str]:
 class Transducer:
     """Longest match over clusters: a base with its marks (and what is invisible between them), else a single character.
 
-    The characters that occur in a text decide what is needed: nothing, the table of single characters, or clusters as well. Line breaks, blanks in
+    The characters that occur in a text decide what is needed: nothing, the table of single characters, or clusters as well. What the table yields is
+    composed (half-width kana and their voice marks, which are letters), as are the parts of Hangul syllables. Line breaks, blanks in
     number, letter case, digits, accents and superscripts stay as they are.
     """
 
@@ -97,7 +100,7 @@ class Transducer:
         used = set(text)
         if any(U.category(c)[0] == "M" for c in used):
             text = self.cluster.sub(lambda m: self.image(m.group()), text)
-        return text.translate(self.single) if used & self.keys else text
+        return U.normalize("NFC", text.translate(self.single) if used & self.keys else text)
 
 
 @lru_cache(maxsize=1)

@@ -79,6 +79,18 @@ def test_one_form():
     assert t("ё") == t("ë") and t("a\r\nb") != t("a\nb") and t("") == ""
 
 
+def test_letters_that_act_as_marks():
+    t = lookalike.transducer()
+    for half, full in {"ｶﾞ": "ガ", "ﾊﾟﾋﾞｮﾝ": "パビョン", "ｶ\u200bﾞ": "ガ", "ｳﾞ x": "ヴ x", "ｱﾞ": "ア\u3099"}.items():
+        assert t(half) == t(full) == t(t(half)) == full, ascii(half)
+    assert t(U.normalize("NFD", "각 가")) == t("각 가") == "각 가"
+    assert t("ﾡￂ") == "ㄱㅏ" != t("가")
+    rnd = random.Random(1)
+    for _ in range(3000):
+        text = "".join(rnd.choice("ｶﾊﾞﾟカはガ각\u1100\u1161\u11a8ﾡￂeé\u0301\u0316\u3099\u200b \n") for _ in range(rnd.randrange(1, 9)))
+        assert t(t(text)) == t(text) == t(U.normalize("NFD", text)) == t(U.normalize("NFC", text)), ascii(text)
+
+
 def test_table_is_closed():
     t = lookalike.transducer()
     rnd = random.Random(0)

@@ -12,9 +12,9 @@ ROOTS = {
     "meter": ("length", "m"), "metre": ("length", "m"), "m": ("length", "m"), "second": ("time", "s"), "sec": ("time", "s"), "s": ("time", "s"), "%": ("ratio", "%"), "percent": ("ratio", "%"),
 }
 MARKS = ("degrees", "degree", "deg.", "deg", "°", "º", "˚", ".", "_", "-", "*", "·", "×", "(", ")", "[", "]")
-SIGNS = {"℃": "°c", "℉": "°f", "K": "k", "−": "-", "⁻": "-", "¹": "1", "²": "2", "³": "3", "⁰": "0"}
+SIGNS = {"℃": "°c", "℉": "°f", "K": "k", "−": "-", "⁻": "-", "¹": "1", "²": "2", "³": "3", "⁰": "0", "⁴": "4", "⁵": "5", "⁶": "6", "⁷": "7", "⁸": "8", "⁹": "9", "⁺": "+"}
 #: cost of each kind of piece; a reading in another dimension than the field's costs OFF_DIMENSION on top
-COST = {"prefix_name": 1.0, "prefix_symbol": 2.0, "root": 1.0, "mark": 0.1, "factor": 1.0, "space": 0.0}
+COST = {"prefix_name": 1.0, "prefix_symbol": 2.0, "root": 1.0, "mark": 0.1, "factor": 1.0, "exponent": 1.0, "space": 0.0}
 OFF_DIMENSION = 10.0
 
 
@@ -40,42 +40,59 @@ def _ends(trie: dict, text: str, at: int):
 _PREFIX, _ROOT, _MARK = _trie(PREFIXES), _trie(ROOTS), _trie(MARKS)
 _FACTORS = _trie(["/10", "/ 10", "/100", "/ 100", "/1000", "0.1", "0,1", "0.01", "0.001", "1/10", "10^-1", "10-1", "x10", "10", "100", "1000"])
 _POWER = {"/10": -1, "/ 10": -1, "/100": -2, "/ 100": -2, "/1000": -3, "0.1": -1, "0,1": -1, "0.01": -2, "0.001": -3, "1/10": -1, "10^-1": -1, "10-1": -1, "x10": 1, "10": 1, "100": 2, "1000": 3}
+#: written right after the root, with or without a sign of power
+EXPONENTS = {f"{power}{sign}{n}": -n if sign == "-" else n for power in ("", "^", "**") for sign in ("", "+", "-") for n in range(10)}
+_EXPONENT = _trie(EXPONENTS)
 
 
-@lru_cache(maxsize=65536)
 def read_label(label: str | None, dimension: str = "temperature") -> tuple[str, int] | None:
-    """(root, power of ten of one unit of the label) by the cheapest segmentation, or None where there is none in that dimension.
+    """(root, power of ten of one unit of the label), or None where there is none in that dimension; the first power of the root only (see :func:`read_unit`)."""
+    unit = read_unit(label, dimension)
+    return unit[:2] if unit and unit[2] == 1 else None
+
 
-    ``C/10``, ``0.1 C``, ``dC``, ``decicelsius`` give ('C', -1); null, empty and unreadable labels give None. Very long labels are read
-    whole, in time linear in their length.
+@lru_cache(maxsize=65536)
+def read_unit(label: str | None, dimension: str = "temperature") -> tuple[str, int, int] | None:
+    """(root, power of ten of one unit of the label, exponent of the root) by the cheapest segmentation, or None where no root is of that dimension.
+
+    ``C/10``, ``0.1 C``, ``dC``, ``decicelsius`` give ('C', -1, 1), ``mm²`` gives ('m', -6, 2): an exponent holds for the prefix too; null, empty
+    and unreadable labels give None. Very long labels are read whole, in time linear in their length.
     """
     if label is None:
         return None
     text = "".join(SIGNS.get(ch, ch) for ch in label).lower().strip()
-    # best[i][state]: state 0 before the root, 1 after a prefix that waits for its root, 2 after the root
+    # best[i][state]: state 0 before the root, 1 after a prefix that waits for its root, 2 right after the root, 3 after root and exponent, if any
     inf = float("inf")
     best: list[dict] = [{} for _ in range(len(text) + 1)]
-    best[0][0] = (0.0, None, 0)
+    best[0][0] = (0.0, None, 0, 0, 1)
 
-    def put(i: int, state: int, cost: float, root, power: int) -> None:
+    def put(i: int, state: int, cost: float, root, factor: int, prefix: int, exponent: int) -> None:
         if cost < best[i].get(state, (inf,))[0]:
-            best[i][state] = (cost, root, power)
+            best[i][state] = (cost, root, factor, prefix, exponent)
 
     for i in range(len(text)):
-        for state, (cost, root, power) in list(best[i].items()):
+        for state, (cost, root, factor, prefix, exponent) in list(best[i].items()):
+            after = 3 if state == 2 else state
             if text[i].isspace() and state != 1:
-                put(i + 1, state, cost + COST["space"], root, power)
+                put(i + 1, after, cost + COST["space"], root, factor, prefix, exponent)
             if state != 1:
-                for j, _ in _ends(_MARK, text, i):
-                    put(j, state, cost + COST["mark"], root, power)
+                for j, w in _ends(_MARK, text, i):
+                    put(j, state if w in (")", "]") else after, cost + COST["mark"], root, factor, prefix, exponent)
                 for j, w in _ends(_FACTORS, text, i):
-                    put(j, state, cost + COST["factor"], root, power + _POWER[w])
+                    put(j, after, cost + COST["factor"], root, factor + _POWER[w], prefix, exponent)
             if state == 0:
                 for j, w in _ends(_PREFIX, text, i):
-                    put(j, 1, cost + COST["prefix_name" if len(w) > 2 else "prefix_symbol"], root, power + PREFIXES[w])
+                    put(j, 1, cost + COST["prefix_name" if len(w) > 2 else "prefix_symbol"], root, factor, PREFIXES[w], exponent)
             if state in (0, 1):
                 for j, w in _ends(_ROOT, text, i):
                     kind, name = ROOTS[w]
-                    put(j, 2, cost + COST["root"] + (0 if kind == dimension else OFF_DIMENSION), (kind, name), power)
-    end = best[len(text)].get(2)
-    return (end[1][1], end[2]) if end and end[1][0] == dimension else None
+                    put(j, 2, cost + COST["root"] + (0 if kind == dimension else OFF_DIMENSION), (kind, name), factor, prefix, exponent)
+            if state == 2:
+                for j, w in _ends(_EXPONENT, text, i):
+                    if not text[j : j + 2].lstrip(".,")[:1].isdigit():  # else it begins a longer number
+                        put(j, 3, cost + COST["exponent"], root, factor, prefix, EXPONENTS[w])
+    ends = [best[len(text)][state] for state in (2, 3) if state in best[len(text)]]
+    if not ends:
+        return None
+    _, root, factor, prefix, exponent = min(ends, key=lambda e: e[0])
+    return (root[1], factor + prefix * exponent, exponent) if root[0] == dimension else None

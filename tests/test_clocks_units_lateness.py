@@ -1,7 +1,7 @@
 import datetime as dt
 import random
 
-from layerlog.functions.unitlabels import read_label
+from layerlog.functions.unitlabels import read_label, read_unit
 from layerlog.operators import clocks, lateness, units
 
 UTC = dt.timezone.utc
@@ -49,6 +49,17 @@ def test_labels():
     assert read_label("x" * 20_000) is None
 
 
+def test_exponents():
+    for label, dimension, want in [
+        ("m²", "length", ("m", 0, 2)), ("mm^2", "length", ("m", -6, 2)), ("(cm)**3", "length", ("m", -6, 3)), ("s⁻²", "time", ("s", 0, -2)), ("ms-1", "time", ("s", 3, -1)), ("0.1 m2", "length", ("m", -1, 2)), ("m⁴/10", "length", ("m", -1, 4)),
+        ("°C^1", "temperature", ("C", 0, 1)), ("dC¹", "temperature", ("C", -1, 1)), ("K^-1", "temperature", ("K", 0, -1)), ("C·10⁻¹", "temperature", ("C", -1, 1)), ("C10", "temperature", ("C", 1, 1)), ("C 10^-1", "temperature", ("C", -1, 1)),
+        ("m²", "temperature", None), ("C12", "temperature", None), ("C ²", "temperature", None), ("²C", "temperature", None),
+    ]:
+        assert read_unit(label, dimension) == want, label
+    assert read_label("°C^1") == ("C", 0) and read_label("mm", "length") == ("m", -3)
+    assert [read_label(x) for x in ("C²", "K^-1", "m²", "°C⁰")] == [None] * 4  # no temperatures
+
+
 def test_units_follow_the_job_not_the_label(spark):
     schema = "path string, line_number long, device_id string, job_id string, kind string, temp_unit string, bed_temp double, nozzle_temp double, target_bed_temp double, target_nozzle_temp double, extra int"
     conv = {"C": lambda c: c, "F": lambda c: c * 1.8 + 32, "K": lambda c: c + 273.15, "dC": lambda c: c * 10}

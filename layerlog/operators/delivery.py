@@ -11,7 +11,7 @@ Two kinds of identifier are told apart.
 :func:`keep_one` and :func:`surplus` look up identifiers of both kinds exactly, as a whole table is at hand; :func:`accept_batch` takes one batch of a
 stream, numbers by ranges and all else by lookup among the ids of earlier batches.  Two compact shuffles find the messages with more than one copy (hashes only,
 combined before the shuffle, so a group holding a third of all rows arrives as one row per task); only rows of such messages are compared in
-full.  No group is collected.
+full.  Where these meet the small tables of ids, a message with more than HOT copies is spread over several tasks. No group is collected.
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 SEQUENCE = r"^(.*?[^0-9a-fA-F])?([0-9]{1,18})$"
 #: what identifies a message of `parsed_events` on its device if its key was lost
 REST = ("kind", "device_ts_raw", "job_id", "state")
+#: an id of more rows than this is joined in pieces of about PIECE rows
+HOT, PIECE = 1 << 17, 1 << 16
+#: exact repeats are written out by numbers, at most so many in one cell
+RUN = 1 << 12
 
 
 def _digest(*cols: Column) -> Column:
@@ -35,33 +39,54 @@ def natural_id(device="device_id", rest=REST) -> Column:
     return _digest(F.col(device), *(F.col(c) for c in rest))
 
 
+def _pieces() -> Column:
+    """In how many pieces an id of ``_n`` rows is joined."""
+    return F.when(F.col("_n") > HOT, F.ceil(F.col("_n") / PIECE)).otherwise(1)
+
+
+def _spread(rows: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """`rows` with ``_s``, the piece they are joined in; `counts` (`key`, _n) tells hot ids, of which there are at most one for each HOT rows.
+
+    The piece depends on the task and the whole row, so that exact repeats are spread, and a task that runs again gives the same.
+    """
+    hot = counts.where(F.col("_n") > HOT).select(key, _pieces().alias("_parts"))
+    piece = F.pmod(F.xxhash64(F.spark_partition_id(), *(F.col(c).cast("string") for c in ("path", "line_number") if c in rows.columns), key), F.col("_parts"))
+    return rows.join(F.broadcast(hot), key, "left").withColumn("_s", F.coalesce(piece, F.lit(0).cast("bigint"))).drop("_parts")
+
+
+def _for_all_pieces(small: DataFrame) -> DataFrame:
+    """`small` (with ``_n``) once for each piece of its ids."""
+    return small.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), (_pieces() - 1).cast("bigint")))).drop("_n")
+
+
 def message_id(df: DataFrame, key="dedupe_key", device="device_id", rest=REST) -> DataFrame:
     """Adds ``_mid``. Keyed rows: device and key, letter case ignored. Keyless rows: the least key of a keyed row with the same natural id, else the natural id itself."""
     keyed = df.where(F.col(key).isNotNull()).withColumn("_mid", _digest(F.col(device), F.lower(F.col(key))))
     keyless = df.where(F.col(key).isNull()).withColumn("_nid", natural_id(device, rest))
-    wanted = keyless.select("_nid").distinct()
+    wanted = keyless.groupBy("_nid").agg(F.count(F.lit(1)).alias("_n"))
     # Only natural ids that a keyless row asks for survive; the keyed side is reduced to digests before it moves.
     found = (
         df.where(F.col(key).isNotNull())
         .select(natural_id(device, rest).alias("_nid"), F.hex(_digest(F.col(device), F.lower(F.col(key)))).alias("_k"))
-        .join(wanted, "_nid", "left_semi")
+        .join(wanted, "_nid")
         .groupBy("_nid")
-        .agg(F.unhex(F.min("_k")).alias("_found"))
+        .agg(F.unhex(F.min("_k")).alias("_found"), F.max("_n").alias("_n"))
     )
-    resolved = keyless.join(found, "_nid", "left").withColumn("_mid", F.coalesce("_found", "_nid")).select(*df.columns, "_mid")
+    resolved = _spread(keyless, "_nid", wanted).join(_for_all_pieces(found), ["_nid", "_s"], "left").withColumn("_mid", F.coalesce("_found", "_nid")).select(*df.columns, "_mid")
     return keyed.select(*df.columns, "_mid").unionByName(resolved)
 
 
-def _ranked(df: DataFrame, order: tuple[str, ...], **ids) -> DataFrame:
-    """Rows with ``_kept``: null where the message has one copy, else whether the row is its first copy."""
+def _ranked(df: DataFrame, **ids) -> DataFrame:
+    """Rows with ``_s`` (see :func:`_spread`) and ``_many``: null where the message has one copy."""
     rows = message_id(df, **ids)
-    many = rows.groupBy("_mid").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_mid", F.lit(True).alias("_many"))
-    return rows.join(many, "_mid", "left")
+    counts = rows.groupBy("_mid").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    many = _for_all_pieces(counts).withColumn("_many", F.lit(True))
+    return _spread(rows, "_mid", counts).join(many, ["_mid", "_s"], "left")
 
 
 def _first(copies: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """The least copy of each message by `order`; combined before the shuffle. Null order values come first."""
-    return copies.groupBy("_mid").agg(F.min(F.struct(*order)).alias("_first"))
+    """The least copy of each message by `order`, for each piece of it; combined before the shuffle. Null order values come first."""
+    return _for_all_pieces(copies.groupBy("_mid").agg(F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("_n")))
 
 
 def surplus(df: DataFrame, order=("received_at", "path", "line_number"), **ids) -> DataFrame:
@@ -70,23 +95,24 @@ def surplus(df: DataFrame, order=("received_at", "path", "line_number"), **ids)
     Nulls: a null key is looked up by the natural id; nulls in it equal each other. Ties on all of `order` are exact repeats: one stays (the
     copies are numbered within the tie). Empty input: empty result. Columns beyond those named pass through.
     """
-    rows = _ranked(df, order, **ids)
+    rows = _ranked(df, **ids)
     copies = rows.where("_many").drop("_many")
     first = _first(copies, order)
-    late = copies.join(first, "_mid").where(~F.struct(*order).eqNullSafe(F.col("_first"))).select(*df.columns)
+    late = copies.join(first, ["_mid", "_s"]).where(~F.struct(*order).eqNullSafe(F.col("_first"))).select(*df.columns)
     return late.unionByName(_repeats(copies, first, order, df.columns))
 
 
 def _repeats(copies: DataFrame, first: DataFrame, order, columns) -> DataFrame:
     """Of rows that tie with the first copy on the whole order, all but one."""
-    tied = copies.join(first, "_mid").where(F.struct(*order).eqNullSafe(F.col("_first")))
+    tied = copies.join(first, ["_mid", "_s"]).where(F.struct(*order).eqNullSafe(F.col("_first")))
     n = tied.groupBy("_mid").agg(F.count(F.lit(1)).alias("_t"), F.first(F.struct(*columns), True).alias("_row")).where("_t > 1")
-    return n.select(F.explode(F.array_repeat("_row", (F.col("_t") - 1).cast("int"))).alias("_row")).select("_row.*")
+    runs = n.select("_row", (F.col("_t") - 1).alias("_left")).select("_row", "_left", F.explode(F.sequence(F.lit(0), ((F.col("_left") - 1) / RUN).cast("int"))).alias("_run"))
+    return runs.select("_row", F.explode(F.sequence(F.lit(1), F.least(F.lit(RUN), F.col("_left") - F.col("_run").cast("bigint") * RUN).cast("int")))).select("_row.*")
 
 
 def keep_one(df: DataFrame, order=("received_at", "path", "line_number"), **ids) -> DataFrame:
     """The rows that stay, exactly one for each message (see :func:`surplus`)."""
-    rows = _ranked(df, order, **ids)
+    rows = _ranked(df, **ids)
     single = rows.where(F.col("_many").isNull()).select(*df.columns)
     copies = rows.where("_many").drop("_many")
     best = copies.groupBy("_mid").agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")).select("_row.*")

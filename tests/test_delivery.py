@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -57,6 +58,22 @@ def test_repeats_and_empty(spark):
     assert delivery.surplus(df.limit(0)).count() == 0
 
 
+def test_hot_messages_are_joined_in_pieces(spark, monkeypatch):
+    for name, value in (("HOT", 8), ("PIECE", 4), ("RUN", 16)):
+        monkeypatch.setattr(delivery, name, value)
+    same = rows_of(3)[0]
+    hot = [{**same, "dedupe_key": k, "line_number": n} for n in range(1000, 1300) for k in ("00aa", None)]
+    bare = [{**same, "dedupe_key": None, "job_id": "hot", "line_number": n} for n in range(2000, 2300)]
+    rows = [r for r in rows_of(4) if r["device_ts_raw"] != same["device_ts_raw"]] + hot + bare
+    again = [{**same, "dedupe_key": "77", "device_ts_raw": "t", "line_number": 5000}] * 300
+    df = spark.createDataFrame([tuple(r.values()) for r in rows + again], SCHEMA).repartition(8)
+    got = sorted((r.path, r.line_number) for r in delivery.surplus(df).collect())
+    assert got == brute(rows + again)
+    assert sorted((r.path, r.line_number) for r in delivery.keep_one(df).collect()) == sorted((Counter((r["path"], r["line_number"]) for r in rows + again) - Counter(got)).elements())
+    pieces = delivery._ranked(df).groupBy("_mid").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_s").alias("s"), F.count_distinct("line_number").alias("lines")).where("n >= 300").collect()
+    assert len(pieces) == 3 and all(p.s > 4 for p in pieces)  # 600 and 300 copies, and 300 exact repeats, which lie in 8 tasks
+
+
 def test_sequences_accept_each_number_once(spark):
     schema = "id string, dev string, received_at long"
     seen = spark.createDataFrame([], "_producer struct<p:string,s:string>, lo bigint, hi bigint")

@@ -126,10 +126,16 @@ def mixture(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, s
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, actual_share, tokens, documents, most_copies) of each source of the targets; nothing taken: zeros."""
+    """(source, target_share, spread_share, actual_share, tokens, documents, most_copies) of each source of the targets; nothing taken: zeros.
+
+    `spread_share` is the target among the sources that have something in the mixture: what `actual_share` is to be held against.
+    """
     got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("documents"), F.max("copies").alias("most_copies"))
-    whole = got.agg(F.sum("tokens")).first()[0] or 0
-    return targets.join(got, "source", "left").select(
-        "source", "target_share", F.coalesce(F.try_divide(F.col("tokens"), F.lit(whole)), F.lit(0.0)).alias("actual_share"),
+    joined = targets.join(got, "source", "left")
+    there = F.when(F.col("tokens") > 0, F.col("target_share"))
+    sums = joined.agg(F.sum("tokens"), F.sum(there)).first()
+    share = lambda x, whole: F.coalesce(F.try_divide(x, F.lit(whole)), F.lit(0.0))
+    return joined.select(
+        "source", "target_share", share(there, sums[1]).alias("spread_share"), share(F.col("tokens"), sums[0]).alias("actual_share"),
         F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
     )

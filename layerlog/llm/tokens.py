@@ -1,9 +1,11 @@
 """Encoding a whole corpus with a public byte-level BPE tokenizer.
 
-Texts are split into pre-tokens once.  Pre-tokens are numbered within blocks of documents (the positions), the distinct ones of all blocks are
-shuffled by word, encoded once where they meet, and joined back to their block, where the ids are put in the places of their pre-tokens.  What
-moves is one row for each block and distinct word and one number for each pre-token, not a row for each pre-token, so the most frequent word
-has one row a block and no key grows with its number of uses.  Words that occur in most blocks are salted.
+Texts are split into pre-tokens once.  Within a block of documents a pre-token is a number, its place in the block's word list; a document is the
+sequence of its numbers, which are the positions.  The distinct words of all blocks are shuffled by word, in `BUCKETS` buckets: each distinct word is
+encoded once where the buckets of all blocks meet, the ids are joined back to their block, and there put in the places of their pre-tokens.  What moves is
+one row for each block and bucket, with words and ids as packed bytes, and one row for the documents of a block.  So no row or key grows with the number
+of uses of a word.  A word is one entry of a bucket for each block it occurs in; beyond `GROUP` scan tasks, buckets are salted by group of tasks (a
+word is then encoded once a group), so that no bucket grows with the corpus.
 """
 
 from __future__ import annotations
@@ -11,20 +13,27 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 from pathlib import Path
+from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+FOLDER = "/opt/tokenizers"  #: where the public vocabularies lie; spark.layerlog.tokenizers names another place
+FILE = "byte_bpe_50k.tiktoken"
+VOCABULARY = f"{FOLDER}/{FILE}"
 #: the public pattern that splits text before the merges
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK_CHARS = 2_000_000  #: texts of one block
+BLOCK_CHARS = 4_000_000  #: texts of one block
 PART_CHARS = 1_000_000  #: longer texts are cut into parts of about so many characters, at ends of pre-tokens
-SALTS = 8
-CACHE = 200_000
+BUCKETS, GROUP = 64, 256
+CACHE = 400_000  #: distinct words of a bucket held at once
+
+
+def vocabulary_path(spark) -> str:
+    return f"{spark.conf.get('spark.layerlog.tokenizers', FOLDER)}/{FILE}"
 
 
 def read_vocabulary(path: str = VOCABULARY) -> bytes:
@@ -38,11 +47,10 @@ def parse_vocabulary(raw: bytes) -> dict[bytes, int]:
 
 @lru_cache(maxsize=4)
 def encoder(raw: bytes):
+    """Text to ids. A pre-token by itself is split into itself, so the same call encodes single words."""
     import tiktoken
 
-    enc = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=parse_vocabulary(raw), special_tokens={})
-    core = enc._core_bpe
-    return lambda word: core.encode_single_piece(word.encode("utf-8", "replace"))
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=parse_vocabulary(raw), special_tokens={}).encode_ordinary
 
 
 _SPLIT = regex.compile(PATTERN)
@@ -67,151 +75,211 @@ def parts(text: str, size: int = PART_CHARS):
     yield out
 
 
-_ROWS = "home long, part long, word string, code int, doc_id long, carry string, last boolean, codes binary, ids array<int>"
+class _Numbers(dict):
+    """Words numbered in the order of their first use."""
 
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        return n
 
-def _split(batches):
-    """Word rows (home, part, word, code) and document rows (home, part, doc_id, codes): `home` is the block, `part` its parts in order.
 
-    Blocks are numbered within the task's input, which is the same whenever the task runs again over the same scan.
-    """
-    from pyspark import TaskContext
-
-    base, block = TaskContext.get().partitionId() << 32, 0
-
-    def emit(home, part, table, docs):
-        n, m = len(table), len(docs)
-        return pd.DataFrame({
-            "home": home, "part": part, "word": [*table, *[None] * m], "code": [*range(n), *[-1] * m], "doc_id": pd.array([*[None] * n, *[d[0] for d in docs]], dtype="Int64"),
-            "carry": pd.Series([*[None] * n, *[d[3] for d in docs]], dtype=object), "last": pd.Series([*[None] * n, *[d[2] for d in docs]], dtype=object), "codes": pd.Series([*[None] * n, *[d[1] for d in docs]], dtype=object), "ids": pd.Series([None] * (n + m), dtype=object),
-        })
-
-    for pdf in batches:
-        table: dict[str, int] = {}
-        docs, chars = [], 0
-        for doc, text, carry in zip(pdf["doc_id"].astype("Int64"), pdf["text"], pdf["carry"]):
-            doc = None if pd.isna(doc) else int(doc)
-            carry = carry if isinstance(carry, str) else None
-            text = text if isinstance(text, str) else ""
-            if len(text) > PART_CHARS:
+def _gather(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places start[0] .. start[0]+n[0]-1, start[1] .. of runs laid end to end."""
+    end = np.cumsum(n)
+    return np.repeat(start - (end - n), n) + np.arange(end[-1] if len(end) else 0)
+
+
+# --- blocks ---------------------------------------------------------------------------------------------------------------------------------
+
+#: a row holds the words of one block and bucket (slot < BUCKETS; a: their numbers, b: lengths, c: bytes), after encoding their ids (b: lengths, c: ids), or the
+#: documents of one block (slot = BUCKETS; a: doc_ids, b: lengths, c: numbers of their pre-tokens, d: which doc_ids are null; last: the text ends here)
+_ROWS = "route long, home long, part long, slot int, last boolean, a binary, b binary, c binary, d binary"
+_NAMES = [x.split()[0] for x in _ROWS.split(", ")]
+_TYPES = pa.schema([("route", pa.int64()), ("home", pa.int64()), ("part", pa.int64()), ("slot", pa.int32()), ("last", pa.bool_()), *[(k, pa.binary()) for k in "abcd"]])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES.types)], schema=_TYPES)
+
+
+def _pack(group: int, home: int, part: int, words: _Numbers, docs: list[tuple], last: bool) -> pa.RecordBatch:
+    """Rows of one block (or one part of a long text). docs: (doc_id or None, numbers)."""
+    by: list[tuple[list, list]] = [([], []) for _ in range(BUCKETS)]
+    for w, n in words.items():
+        raw = w.encode("utf-8", "replace")
+        numbers, texts = by[crc32(raw) % BUCKETS]
+        numbers.append(n)
+        texts.append(raw)
+    rows = [
+        (group * BUCKETS + k, home, part, k, None, np.array(numbers, np.int32).tobytes(), np.fromiter(map(len, texts), np.int32, len(texts)).tobytes(), b"".join(texts), None)
+        for k, (numbers, texts) in enumerate(by) if numbers
+    ]
+    codes = np.concatenate([c for _, c in docs])
+    codes = codes.astype(np.uint16 if len(words) <= 1 << 16 else np.int32)
+    ids, null = np.array([d or 0 for d, _ in docs], np.int64), np.array([d is None for d, _ in docs])
+    # the documents of a block stay spread evenly while words meet
+    rows.append((group * BUCKETS + (home + part) % BUCKETS, home, part, BUCKETS, last, ids.tobytes(), np.array([len(c) for _, c in docs], np.int64).tobytes(), codes.tobytes(), null.tobytes()))
+    return _batch(rows)
+
+
+def _blocks(batches, task: int, block_chars: int, part_chars: int, tasks_of_group: int):
+    """Rows of the blocks of one task. Blocks are numbered within the task's input, which is the same whenever the task runs again over the same scan."""
+    group, home, words, docs, chars = task // tasks_of_group, task << 32, _Numbers(), [], 0
+    number = lambda table, ws: np.fromiter(map(table.__getitem__, ws), np.int32, len(ws))
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            text = text or ""
+            if len(text) > part_chars:
                 if docs:
-                    yield emit(base + block, 0, table, docs)
-                    block, table, docs, chars = block + 1, {}, [], 0
+                    yield _pack(group, home, 0, words, docs, True)
+                    home, words, docs, chars = home + 1, _Numbers(), [], 0
                 held = None
-                for k, words in enumerate(parts(text)):
+                for k, ws in enumerate(parts(text, part_chars)):
                     if held is not None:
-                        yield emit(base + block, held[0], held[1], [(doc, held[2], False, carry)])
-                    own: dict[str, int] = {}
-                    codes = np.fromiter((own.setdefault(w, len(own)) for w in words), dtype=np.int32, count=len(words))
-                    held = (k, own, codes.tobytes())
-                yield emit(base + block, held[0], held[1], [(doc, held[2], True, carry)])
-                block += 1
+                        yield _pack(group, home, *held, False)
+                    own = _Numbers()
+                    held = (k, own, [(doc, number(own, ws))])
+                yield _pack(group, home, *held, True)
+                home += 1
                 continue
-            words = pretokens(text)
-            codes = np.fromiter((table.setdefault(w, len(table)) for w in words), dtype=np.int32, count=len(words))
-            docs.append((doc, codes.tobytes(), True, carry))
+            docs.append((doc, number(words, pretokens(text))))
             chars += len(text)
-            if chars >= BLOCK_CHARS:
-                yield emit(base + block, 0, table, docs)
-                block, table, docs, chars = block + 1, {}, [], 0
-        if docs:
-            yield emit(base + block, 0, table, docs)
-            block += 1
+            if chars >= block_chars:
+                yield _pack(group, home, 0, words, docs, True)
+                home, words, docs, chars = home + 1, _Numbers(), [], 0
+    if docs:
+        yield _pack(group, home, 0, words, docs, True)
 
 
-def _encode(raw: bytes):
+def _split(*sizes):
     def run(batches):
-        encode, known = encoder(raw), {}
-        for pdf in batches:
-            out = []
-            for w in pdf["word"]:
-                if not isinstance(w, str):
-                    out.append(None)
-                    continue
-                ids = known.get(w)
-                if ids is None:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    ids = known[w] = encode(w)
-                out.append(ids)
-            pdf["ids"] = pd.Series(out, dtype=object, index=pdf.index)
-            pdf["word"] = pd.Series([None] * len(pdf), dtype=object, index=pdf.index)
-            yield pdf
+        from pyspark import TaskContext
 
-    return run
+        return _blocks(batches, TaskContext.get().partitionId(), *sizes)
 
+    return run
 
-def _assemble(counts: bool, carried: str | None):
-    """Puts ids in the places of their pre-tokens. Rows come sorted by home, part, words before documents."""
 
+def _encode(raw: bytes):
     def run(batches):
-        key, table, size, docs = None, [], None, []
-        held: list[np.ndarray] = []  # parts of a long text
-        flat = start = None
-        out: list[tuple] = []
-        for pdf in batches:
-            for home, part, code, doc, carry, last, codes, ids in zip(pdf["home"], pdf["part"], pdf["code"], pdf["doc_id"].astype("Int64"), pdf["carry"], pdf["last"], pdf["codes"], pdf["ids"]):
-                if (home, part) != key:
-                    key, table, flat = (home, part), {}, None
-                if code >= 0:
-                    table[code] = ids
+        encode = encoder(raw)
+        known: dict[bytes, list[int]] = {}
+        for batch in batches:
+            rows = []
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                route, home, part, slot, last, a, b, c, d = row
+                if slot == BUCKETS:
+                    rows.append(row)
                     continue
-                if flat is None:  # the words of this part are complete
-                    words = [table[i] for i in range(len(table))]
-                    size = np.fromiter((len(w) for w in words), dtype=np.int64, count=len(words))
-                    start = np.cumsum(size) - size
-                    flat = np.concatenate([np.asarray(w, dtype=np.int32) for w in words]) if words else np.zeros(0, np.int32)
-                c = np.frombuffer(codes, dtype=np.int32)
-                n = size[c] if len(c) else np.zeros(0, np.int64)
-                if counts:
-                    got = int(n.sum())
-                else:
-                    ends = np.cumsum(n)
-                    got = flat[np.repeat(start[c] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)] if len(c) else np.zeros(0, np.int32)
-                held.append(got)
-                if last:
-                    out.append((None if pd.isna(doc) else int(doc), sum(held) if counts else np.concatenate(held), carry))
-                    held = []
-            if out:
-                yield pd.DataFrame({"doc_id": pd.array([o[0] for o in out], dtype="Int64"), "tokens" if counts else "ids": pd.Series([o[1] for o in out], dtype="int64" if counts else object), **({carried: pd.Series([o[2] for o in out], dtype=object)} if carried else {})})
-                out = []
+                found, at = [], 0
+                for n in np.frombuffer(b, np.int32).tolist():
+                    w = c[at : at + n]
+                    at += n
+                    ids = known.get(w)
+                    if ids is None:
+                        if len(known) >= CACHE:
+                            known.clear()
+                        ids = known[w] = encode(w.decode())
+                    found.append(ids)
+                sizes = np.fromiter(map(len, found), np.int32, len(found))
+                flat = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
+                rows.append((route, home, part, slot, last, a, sizes.tobytes(), flat.tobytes(), None))
+            if rows:
+                yield _batch(rows)
 
     return run
 
 
-def encode_corpus(docs: DataFrame, vocabulary: str = VOCABULARY, counts: bool = False, carry: str | None = None) -> DataFrame:
-    """(doc_id, ids) of every row of `docs` (doc_id, text), or (doc_id, tokens) with `counts`; `carry` names a text column that comes along.
+def _list_array(lengths: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(values.astype(np.int32)))
 
-    Null and empty texts have no ids ([] and 0). Repeated rows and null doc_ids stay as they are. Strings of special tokens are ordinary text. `docs` must be
-    a scan or a checkpoint, so that a task that runs again sees the same rows. Unpaired surrogates count as '?'.
+
+def _assemble(batches):
+    """Ids in the places of their pre-tokens. Rows come sorted by home, part and slot: the words of a block, then its documents."""
+    key, held = None, []
+    numbers, sizes, flat = [], [], []
+    for batch in batches:
+        for _, home, part, slot, last, a, b, c, d in zip(*[x.to_pylist() for x in batch.columns]):
+            if (home, part) != key:
+                key, numbers, sizes, flat = (home, part), [], [], []
+            if slot < BUCKETS:
+                numbers.append(np.frombuffer(a, np.int32))
+                sizes.append(np.frombuffer(b, np.int32))
+                flat.append(np.frombuffer(c, np.int32))
+                continue
+            ids, n = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+            null = np.frombuffer(d, np.bool_)
+            codes = np.frombuffer(c, np.uint16 if len(c) == 2 * int(n.sum()) else np.int32)
+            values, count = np.zeros(0, np.int32), np.zeros(len(n), np.int64)
+            if len(codes):
+                word, size = np.concatenate(numbers), np.concatenate(sizes).astype(np.int64)
+                start = np.empty(len(word), np.int64)
+                length = np.empty(len(word), np.int64)
+                start[word], length[word] = np.cumsum(size) - size, size
+                each = length[codes]
+                values = np.concatenate(flat)[_gather(start[codes], each)]
+                count = np.diff(np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum(n)]])
+            if not last or held:  # a part of a long text
+                held.append(values)
+                if not last:
+                    continue
+                values, held = np.concatenate(held), []
+                count = np.array([len(values)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), _list_array(count, values)], names=["doc_id", "ids"])
+
+
+def encode_corpus(docs: DataFrame, vocabulary: str = VOCABULARY, block_chars: int = BLOCK_CHARS, part_chars: int = PART_CHARS, tasks_of_group: int = GROUP) -> DataFrame:
+    """(doc_id, ids) of every row of `docs` (doc_id, text).
+
+    Null and empty texts have no ids ([]). Repeated rows and null doc_ids stay as they are. Strings of special tokens are ordinary text. Very long texts are encoded
+    whole, in parts. `docs` must be a scan or a checkpoint, so that a task that runs again sees the same rows. Other columns are left out.
     """
-    raw = read_vocabulary(vocabulary)
-    with_ = F.col(carry).cast("string") if carry else F.lit(None).cast("string")
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", with_.alias("carry")).mapInPandas(_split, _ROWS)
-    # words meet by word, in SALTS places if short (the frequent ones are); document rows stay evenly spread
-    salt = F.when(F.length("word") <= 6, F.pmod(F.hash("home"), F.lit(SALTS))).otherwise(0)
-    route = F.when(F.col("word").isNull(), F.xxhash64("home", "part", "doc_id")).otherwise(F.xxhash64("word", salt))
-    spread = split.withColumn("_r", route).repartition("_r").drop("_r")
-    joined = spread.mapInPandas(_encode(raw), _ROWS)
-    blocks = joined.repartition("home").sortWithinPartitions("home", "part", F.col("code") < 0)
-    schema = "doc_id long, tokens long" if counts else "doc_id long, ids array<int>"
-    return blocks.mapInPandas(_assemble(counts, carry), schema + (f", `{carry}` string" if carry else ""))
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_split(block_chars, part_chars, tasks_of_group), _ROWS)
+    met = split.repartition("route").mapInArrow(_encode(read_vocabulary(vocabulary)), _ROWS)
+    return met.repartition("home").sortWithinPartitions("home", "part", "slot").mapInArrow(_assemble, "doc_id long, ids array<int>")
 
 
 def decode_corpus(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids): ids join the token-byte table (fixed size, broadcast), bytes are put together in order of position. No ids give ''."""
-    spark = encoded.sparkSession
-    table = pd.DataFrame([(i, b) for b, i in parse_vocabulary(read_vocabulary(vocabulary)).items()], columns=["_id", "_bytes"])
-    tokens = F.broadcast(spark.createDataFrame(table, "_id int, _bytes binary"))
-    keyed = encoded.withColumn("_row", F.monotonically_increasing_id())
-    each = keyed.select("_row", "doc_id", F.posexplode_outer("ids").alias("_pos", "_id")).join(tokens, "_id", "left")
-    whole = each.groupBy("_row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "_bytes"))).alias("_all"))
-    text = F.aggregate("_all", F.lit(b""), lambda acc, x: F.concat(acc, F.coalesce(x["_bytes"], F.lit(b""))))
-    return whole.select("doc_id", text.cast("string").alias("text"))
+    """(doc_id, text) from (doc_id, ids): ids are looked up in the token-byte table, which is of fixed size and lies in every task; bytes are laid end to end.
+
+    No ids give '', and so do null, and ids that the table doesn't have. Bytes that aren't UTF-8 become U+FFFD.
+    """
+    raw = read_vocabulary(vocabulary)
+
+    def run(batches):
+        table = {i: b for b, i in parse_vocabulary(raw).items()}
+        top = max(table) + 1
+        size = np.array([len(table.get(i, b"")) for i in range(top)] + [0], np.int64)
+        start = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(table.get(i, b"") for i in range(top)), np.uint8)
+        for batch in batches:
+            doc, ids = batch.column(0), batch.column(1)
+            n = np.asarray(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+            v = np.asarray(ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False), np.int64)
+            v = np.where((v >= 0) & (v < top), v, top)
+            blob = flat[_gather(start[v], size[v])].tobytes()
+            at = np.r_[0, np.cumsum(size[v])][np.r_[0, np.cumsum(n)]].tolist()
+            yield pa.RecordBatch.from_arrays([doc, pa.array([blob[x:y].decode("utf-8", "replace") for x, y in zip(at, at[1:])], pa.string())], names=["doc_id", "text"])
+
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, carry: str | None = None) -> DataFrame:
-    return encode_corpus(docs, vocabulary, counts=True, carry=carry)
+    """(doc_id, tokens) of every row, or (doc_id, `carry`, tokens) with a text column that comes along; counted where the texts lie, nothing is shuffled.
+
+    Null and empty texts have no tokens.
+    """
+    raw = read_vocabulary(vocabulary)
+
+    def run(batches):
+        encode = encoder(raw)
+        count = lambda text: 0 if not text else len(encode(text)) if len(text) <= PART_CHARS else sum(len(encode(w)) for ws in parts(text) for w in ws)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([count(x) for x in batch.column(2).to_pylist()], pa.int64())], names=["doc_id", "carry", "tokens"])
+
+    with_ = F.col(carry).cast("string") if carry else F.lit(None).cast("string")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), with_.alias("carry"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, carry string, tokens long")
+    return out.withColumnRenamed("carry", carry) if carry else out.drop("carry")
 
 
-__all__ = ["encode_corpus", "decode_corpus", "count_tokens", "SparkSession"]
+__all__ = ["encode_corpus", "decode_corpus", "count_tokens"]

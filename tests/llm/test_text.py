@@ -37,10 +37,19 @@ def test_ids_and_round_trip(spark):
     assert sorted(((r.doc_id, list(r.ids)) for r in got.collect()), key=key) == want
     back = sorted(((r.doc_id, r.text) for r in tokens.decode_corpus(got).collect()), key=key)
     assert back == sorted(((d[0], d[1] or "") for d in data), key=key)
-    assert tokens.encode_corpus(df.limit(0)).count() == 0
+    assert tokens.encode_corpus(df.limit(0)).count() == 0 and tokens.decode_corpus(got.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [None, 60_000_000, -5]), (None, [0])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in tokens.decode_corpus(odd).collect()} == {1: "", 2: "", 3: "", None: "!"}
 
 
-def test_long_texts_are_cut_at_pretokens(spark, monkeypatch):
+def test_blocks_buckets_and_groups(spark):
+    data = [d for d in rows() if d[1] is None or len(d[1]) < 2500] + [(900, "w1 w2, " * 400, "s"), (901, "y" * 900, "s")]
+    df = spark.createDataFrame(data, DOCS).repartition(3)
+    got = {r.doc_id: list(r.ids) for r in tokens.encode_corpus(df, block_chars=40, part_chars=200, tasks_of_group=1).collect()}
+    assert got == dict(zip([d[0] for d in data], reference([d[1] for d in data])))
+
+
+def test_long_texts_are_cut_at_pretokens(spark):
     text = "".join(random.Random(2).choice(["ab ", "c\n", "  ", "'s", "12"]) for _ in range(2000))
     for size in (1, 7, 100):
         assert [w for p in tokens.parts(text, size) for w in p] == tokens.pretokens(text)
@@ -144,5 +153,5 @@ def test_mixture(spark, block):
     out = {r.source: r for r in mixing.shares(mixed, targets).collect()}
     for s, w, cap in (("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 3)):
         assert abs(out[s].actual_share - w) < 0.01 and 0 < out[s].most_copies <= cap
-    assert out["absent"].tokens == 0 and {r.source for r in mixed.select("source").distinct().collect()} == {"a", "b", "c"}
+    assert out["absent"].tokens == 0 == out["absent"].spread_share and abs(out["a"].spread_share - 0.5) < 1e-9 and {r.source for r in mixed.select("source").distinct().collect()} == {"a", "b", "c"}
     assert mixing.mixture(spark.createDataFrame(data, DOCS).limit(0), targets).count() == 0

@@ -38,11 +38,15 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.lookalike_classes(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def p10_text(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_decoded": p8_decoded, "p8_counts": p8_counts, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_text": p10_text}
+QUERIES = {"p8_ids": p8_ids, "p8_decoded": p8_decoded, "p8_counts": p8_counts, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_classes": p10_classes, "p10_text": p10_text}
 ORACLES: dict[str, str] = {
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -75,8 +75,17 @@ def test_splitting_agrees_on_every_character():
 # --- look-alikes ------------------------------------------------------------------------------------------------------------------------------
 
 
-def test_one_form():
-    t = lookalike.transducer()
+@pytest.fixture(scope="module")
+def letters(spark):
+    return lookalike.confusables(spark)
+
+
+@pytest.fixture(scope="module")
+def t(letters):
+    return lookalike.transducer(letters)
+
+
+def test_one_form(t):
     base = "Señor café Bravo's fine-print 12 K"
     variants = [
         U.normalize("NFD", base), base.replace(" ", " "), base.replace("a", "а").replace("o", "ο"), "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in base), base.replace("fi", "ﬁ"), base.replace("-", "‑"),
@@ -88,8 +97,7 @@ def test_one_form():
     assert t("ё") == t("ë") and t("a\r\nb") != t("a\nb") and t("") == ""
 
 
-def test_letters_that_act_as_marks():
-    t = lookalike.transducer()
+def test_letters_that_act_as_marks(t):
     for half, full in {"ｶﾞ": "ガ", "ﾊﾟﾋﾞｮﾝ": "パビョン", "ｶ\u200bﾞ": "ガ", "ｳﾞ x": "ヴ x", "ｱﾞ": "ア\u3099"}.items():
         assert t(half) == t(full) == t(t(half)) == full, ascii(half)
     assert t(U.normalize("NFD", "각 가")) == t("각 가") == "각 가"
@@ -100,8 +108,7 @@ def test_letters_that_act_as_marks():
         assert t(t(text)) == t(text) == t(U.normalize("NFD", text)) == t(U.normalize("NFC", text)), ascii(text)
 
 
-def test_table_is_closed():
-    t = lookalike.transducer()
+def test_table_is_closed(t):
     rnd = random.Random(0)
     pool = [*t.table, "e", "a", "́", "̧", "и", "\n", " "]
     for _ in range(3000):
@@ -110,15 +117,33 @@ def test_table_is_closed():
         assert t(U.normalize("NFD", text)) == t(text) == t(U.normalize("NFC", text)), ascii(text)
 
 
-def test_pairs(spark):
+def test_all_scripts_and_planes(t):
+    assert t("丽") == t("丽") == "丽" and t("𝒜ＡAА") == "AAAA" and t("ՕᎪꓐ") == "OAB" and t("1∕2") == "1/2"
+    for a, b in (("ı", "i"), ("α", "a"), ("г", "r"), ("ɑ", "a"), ("0", "O"), ("1", "l"), ("ё", "е"), ("–", "-")):
+        assert t(a) != t(b)
+
+
+def test_readable_text_follows_from_the_key(t, letters):
+    back = lookalike.readable(letters)
+    for text in ("Москва — столица России", "в том, что я", "Ёлка и ещё", "Αθήνα είναι", "Latin Москва word", "Українська мова і ліс"):
+        assert back(t(text)) == U.normalize("NFC", text), text
+    assert back(t("Mocквa")) == back(t("Москва")) == "Москва" and back(t("сору")) == "copy"
+    rnd = random.Random(5)
+    for _ in range(500):
+        text = "".join(rnd.choice("аоcсxхМM влaΑAω é.") for _ in range(12))
+        assert t(back(t(text))) == t(text)
+
+
+def test_pairs(spark, t):
     texts = ["cafe", "саfe", "cafe", "ｃａｆｅ", "café", "café", None, "", "​", " ", " ", "CAFE", "alone"]
     data = [(i, x, "s") for i, x in enumerate(texts)] + [(3, "ｃａｆｅ", "s"), (None, "cafe", "s")]
     df = spark.createDataFrame(data, DOCS)
-    t = lookalike.transducer()
     want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if texts[i] and texts[j] and texts[i] != texts[j] and t(texts[i]).strip() and t(texts[i]) == t(texts[j])}
     got = [tuple(r) for r in lookalike.lookalike_pairs(df).collect()]
     assert set(got) == want and len(got) == len(want) == 6
     assert lookalike.lookalike_pairs(df.limit(0)).count() == 0
+    classes = {r.doc_id: (r.class_id, r.text_id) for r in lookalike.lookalike_classes(df).collect()}
+    assert {(i, j) for i in classes for j in classes if i < j and classes[i][0] == classes[j][0] and classes[i][1] != classes[j][1]} == want
     assert {r.doc_id: r.text for r in lookalike.consistent(df.where("doc_id is not null")).collect()}[1] == "cafe"
 
 

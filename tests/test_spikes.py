@@ -53,10 +53,29 @@ def test_planted_readings_and_blocks(spark):
     assert got == planted
     cut = {(r.dedupe_key, r.field) for r in spikes.score_readings(df, block_rows=300, only_found=True).collect()}
     assert cut == planted
+    # one forest a device: blocks give the readings of a device the scores of one and the same forest
+    few, many = ({(r.dedupe_key, r.field): r.score for r in spikes.score_readings(df.where("device_id = 'd0'"), block_rows=k).collect()} for k in (700, 300))
+    assert few.keys() == many.keys() and sum(abs(few[k] - many[k]) > 1e-9 for k in few) < 0.02 * len(few)
     scored = spikes.score_readings(df)
     assert scored.count() == sum((r[6] is not None) + (r[7] is not None) for r in rows)
     high = scored.groupBy(F.col("reason") == "spike").agg(F.avg("score").alias("s")).orderBy(F.col("(reason = spike)")).collect()
-    assert high[1].s > high[0].s + 0.1
+    assert high[1].s > high[0].s + 0.2
+    # the score by itself finds every spike and leaves out most other readings; without it nothing would be found
+    assert scored.where("reason = 'spike'").agg(F.min("score")).first()[0] >= spikes.ANOMALOUS
+    assert scored.agg(F.avg((F.col("score") >= spikes.ANOMALOUS).cast("int"))).first()[0] < 0.25
+
+
+def test_score_decides(spark, monkeypatch):
+    import pandas as pd
+
+    rows, _ = fleet(devices=2)
+    pdf = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).query("kind == 'status'").sort_values(["device_id", "event_ts"]).reset_index(drop=True)
+    g = pdf["device_id"].eq("d1").to_numpy().astype(int)
+    lay = spikes.Layout(pdf, g, "nozzle_c")
+    st = spikes._settle(spikes.own_stats(lay, 2))
+    assert (lay.score(st, np.arange(2))["reason"] == "spike").any()
+    monkeypatch.setattr(spikes, "forest_scores", lambda x, *a: np.zeros(len(x)))
+    assert not (lay.score(st, np.arange(2))["reason"] == "spike").any()
 
 
 def test_edges(spark):

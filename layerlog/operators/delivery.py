@@ -1,17 +1,18 @@
 """At-least-once delivery: keep exactly one copy of each message.
 
-Two kinds of identifier are told apart.
-
-* A *sequence identifier* ends in a number that its producer counts up (``<prefix><digits>``, at most 18 digits). The numbers seen from one
-  producer are kept as disjoint, merged ranges: a number inside a range was delivered before, an uncovered number is accepted once
-  (:func:`accept_sequences`). A state of ranges is far smaller than a set of numbers, as producers count without large holes.
-* Every other identifier (digests, free text, null) is *malformed* for that purpose and is resolved by exact keyed lookup
-  (:func:`message_id`, :func:`surplus`).
-
-:func:`keep_one` and :func:`surplus` look up identifiers of both kinds exactly, as a whole table is at hand; :func:`accept_batch` takes one batch of a
-stream, numbers by ranges and all else by lookup among the ids of earlier batches.  Two compact shuffles find the messages with more than one copy (hashes only,
-combined before the shuffle, so a group holding a third of all rows arrives as one row per task); only rows of such messages are compared in
-full.  Where these meet the small tables of ids, a message with more than HOT copies is spread over several tasks. No group is collected.
+:func:`told_apart` routes every row by its identifier.
+
+* A *sequence identifier* ends in a number that its producer counts up (``<prefix><digits>``, at most 18 digits; zero-padded numbers are a
+  sequence of their own for each width). The numbers seen from one producer are kept as disjoint, merged ranges: a number inside a range was delivered
+  before, an uncovered number is accepted once, by its first copy (:func:`accept_sequences`, :func:`merge_ranges`). A state of ranges is far smaller
+  than a set of numbers, as producers count without large holes.
+* Every other identifier (digests, free text, null) is *malformed* for that purpose and is resolved by exact keyed lookup (:func:`message_id`).
+
+:func:`surplus` and :func:`keep_one` take a whole table, with or without ranges of what was seen before; :func:`accept_batch` takes one batch of a stream and
+the state of all earlier ones, :func:`accept_all` a number of batches.  The table is read once: rows and their digests are stored in the shared folder.  Two
+compact shuffles find the messages with more than one copy (hashes only, combined before the shuffle, so a group holding a third of all rows arrives as one
+row per task); only rows of such messages are compared in full.  Where these meet the small tables of ids, a message with more than HOT copies is spread over
+several tasks. No group is collected.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, stored
+
 SEQUENCE = r"^(.*?[^0-9a-fA-F])?([0-9]{1,18})$"
 #: what identifies a message of `parsed_events` on its device if its key was lost
 REST = ("kind", "device_ts_raw", "job_id", "state")
 #: an id of more rows than this is joined in pieces of about PIECE rows
 HOT, PIECE = 1 << 17, 1 << 16
-#: exact repeats are written out by numbers, at most so many in one cell
-RUN = 1 << 12
 
 
 def _digest(*cols: Column) -> Column:
@@ -47,10 +48,10 @@ def _pieces() -> Column:
 def _spread(rows: DataFrame, key: str, counts: DataFrame) -> DataFrame:
     """`rows` with ``_s``, the piece they are joined in; `counts` (`key`, _n) tells hot ids, of which there are at most one for each HOT rows.
 
-    The piece depends on the task and the whole row, so that exact repeats are spread, and a task that runs again gives the same.
+    The piece depends on the number of the row in the stored table, so that exact repeats are spread, and a task that runs again gives the same.
     """
     hot = counts.where(F.col("_n") > HOT).select(key, _pieces().alias("_parts"))
-    piece = F.pmod(F.xxhash64(F.spark_partition_id(), *(F.col(c).cast("string") for c in ("path", "line_number") if c in rows.columns), key), F.col("_parts"))
+    piece = F.pmod(F.xxhash64("_row"), F.col("_parts"))
     return rows.join(F.broadcast(hot), key, "left").withColumn("_s", F.coalesce(piece, F.lit(0).cast("bigint"))).drop("_parts")
 
 
@@ -59,26 +60,36 @@ def _for_all_pieces(small: DataFrame) -> DataFrame:
     return small.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), (_pieces() - 1).cast("bigint")))).drop("_n")
 
 
-def message_id(df: DataFrame, key="dedupe_key", device="device_id", rest=REST) -> DataFrame:
-    """Adds ``_mid``. Keyed rows: device and key, letter case ignored. Keyless rows: the least key of a keyed row with the same natural id, else the natural id itself."""
-    keyed = df.where(F.col(key).isNotNull()).withColumn("_mid", _digest(F.col(device), F.lower(F.col(key))))
-    keyless = df.where(F.col(key).isNull()).withColumn("_nid", natural_id(device, rest))
+def told_apart(df: DataFrame, key="dedupe_key", device="device_id", rest=REST) -> DataFrame:
+    """Adds ``_producer`` and ``_seq`` (sequence identifiers; else null), ``_key`` (digest of the identifier; null where there is none) and ``_nid`` (natural id).
+
+    Letter case of malformed identifiers has no meaning; equal identifiers of different producers are different messages.
+    """
+    text = F.col(key).cast("string")
+    number, head = F.regexp_extract(text, SEQUENCE, 2), F.regexp_extract(text, SEQUENCE, 1)
+    ok = F.coalesce(text.rlike(SEQUENCE), F.lit(False))
+    width = F.when(number.startswith("0") & (F.length(number) > 1), F.length(number)).otherwise(0)
+    out = df.withColumn("_producer", F.when(ok, F.struct(F.col(device).alias("p"), head.alias("s"), width.alias("w")))).withColumn("_seq", F.when(ok, number.cast("long")))
+    odd = F.when(F.col(key).isNotNull(), _digest(F.col(device), F.lower(F.col(key))))
+    return out.withColumn("_key", F.when(ok, _digest(F.col(device), F.lit("#"), head, width, F.col("_seq"))).otherwise(odd)).withColumn("_nid", natural_id(device, rest))
+
+
+_ADDED = ("_producer", "_seq", "_key", "_nid")
+
+
+def message_id(told: DataFrame) -> DataFrame:
+    """Adds ``_mid`` to rows of :func:`told_apart`: the key, and for keyless rows the least key of a keyed row with the same natural id, else the natural id itself."""
+    keyed, keyless = told.where(F.col("_key").isNotNull()), told.where(F.col("_key").isNull())
     wanted = keyless.groupBy("_nid").agg(F.count(F.lit(1)).alias("_n"))
-    # Only natural ids that a keyless row asks for survive; the keyed side is reduced to digests before it moves.
-    found = (
-        df.where(F.col(key).isNotNull())
-        .select(natural_id(device, rest).alias("_nid"), F.hex(_digest(F.col(device), F.lower(F.col(key)))).alias("_k"))
-        .join(wanted, "_nid")
-        .groupBy("_nid")
-        .agg(F.unhex(F.min("_k")).alias("_found"), F.max("_n").alias("_n"))
-    )
-    resolved = _spread(keyless, "_nid", wanted).join(_for_all_pieces(found), ["_nid", "_s"], "left").withColumn("_mid", F.coalesce("_found", "_nid")).select(*df.columns, "_mid")
-    return keyed.select(*df.columns, "_mid").unionByName(resolved)
+    # Only natural ids that a keyless row asks for survive.
+    found = keyed.select("_nid", F.hex("_key").alias("_k")).join(wanted, "_nid").groupBy("_nid").agg(F.unhex(F.min("_k")).alias("_found"), F.max("_n").alias("_n"))
+    resolved = _spread(keyless, "_nid", wanted).join(_for_all_pieces(found), ["_nid", "_s"], "left").withColumn("_mid", F.coalesce("_found", "_nid"))
+    return keyed.withColumn("_mid", F.col("_key")).unionByName(resolved.select(*told.columns, "_mid"))
 
 
 def _ranked(df: DataFrame, **ids) -> DataFrame:
-    """Rows with ``_s`` (see :func:`_spread`) and ``_many``: null where the message has one copy."""
-    rows = message_id(df, **ids)
+    """Rows with ``_mid``, ``_s`` (see :func:`_spread`) and ``_many``: null where the message has one copy. `df` is read once."""
+    rows = message_id(stored(told_apart(df, **ids).withColumn("_row", F.monotonically_increasing_id())))
     counts = rows.groupBy("_mid").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     many = _for_all_pieces(counts).withColumn("_many", F.lit(True))
     return _spread(rows, "_mid", counts).join(many, ["_mid", "_s"], "left")
@@ -86,50 +97,45 @@ def _ranked(df: DataFrame, **ids) -> DataFrame:
 
 def _first(copies: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """The least copy of each message by `order`, for each piece of it; combined before the shuffle. Null order values come first."""
-    return _for_all_pieces(copies.groupBy("_mid").agg(F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("_n")))
+    return _for_all_pieces(copies.groupBy("_mid").agg(F.min(F.struct(*order, "_row")).alias("_first"), F.count(F.lit(1)).alias("_n")))
 
 
-def surplus(df: DataFrame, order=("received_at", "path", "line_number"), **ids) -> DataFrame:
-    """The rows that go: every copy but the first by `order`.
+def surplus(df: DataFrame, order=("received_at", "path", "line_number"), seen: DataFrame | None = None, **ids) -> DataFrame:
+    """The rows that go: every copy but the first by `order`, and, where `seen` gives ranges of sequence numbers (_producer, lo, hi), every copy of those.
 
-    Nulls: a null key is looked up by the natural id; nulls in it equal each other. Ties on all of `order` are exact repeats: one stays (the
-    copies are numbered within the tie). Empty input: empty result. Columns beyond those named pass through.
+    Nulls: a null key is looked up by the natural id; nulls in it equal each other. Of copies that tie on all of `order`, exact repeats too, one stays.
+    Empty input: empty result. Columns beyond those named pass through.
     """
     rows = _ranked(df, **ids)
-    copies = rows.where("_many").drop("_many")
-    first = _first(copies, order)
-    late = copies.join(first, ["_mid", "_s"]).where(~F.struct(*order).eqNullSafe(F.col("_first"))).select(*df.columns)
-    return late.unionByName(_repeats(copies, first, order, df.columns))
+    copies = stored(rows.where("_many").drop("_many"))
+    out = copies.join(_first(copies, order), ["_mid", "_s"]).where(F.col("_row") != F.col("_first._row")).select(*df.columns)
+    if seen is None:
+        return out
+    kept = keep_one(df, order, **ids)
+    told = told_apart(kept, **ids).where("_seq is not null")
+    return out.unionByName(_covered(told, seen, "left_semi").select(*df.columns))
 
 
-def _repeats(copies: DataFrame, first: DataFrame, order, columns) -> DataFrame:
-    """Of rows that tie with the first copy on the whole order, all but one."""
-    tied = copies.join(first, ["_mid", "_s"]).where(F.struct(*order).eqNullSafe(F.col("_first")))
-    n = tied.groupBy("_mid").agg(F.count(F.lit(1)).alias("_t"), F.first(F.struct(*columns), True).alias("_row")).where("_t > 1")
-    runs = n.select("_row", (F.col("_t") - 1).alias("_left")).select("_row", "_left", F.explode(F.sequence(F.lit(0), ((F.col("_left") - 1) / RUN).cast("int"))).alias("_run"))
-    return runs.select("_row", F.explode(F.sequence(F.lit(1), F.least(F.lit(RUN), F.col("_left") - F.col("_run").cast("bigint") * RUN).cast("int")))).select("_row.*")
-
-
-def keep_one(df: DataFrame, order=("received_at", "path", "line_number"), **ids) -> DataFrame:
+def keep_one(df: DataFrame, order=("received_at", "path", "line_number"), seen: DataFrame | None = None, **ids) -> DataFrame:
     """The rows that stay, exactly one for each message (see :func:`surplus`)."""
     rows = _ranked(df, **ids)
     single = rows.where(F.col("_many").isNull()).select(*df.columns)
     copies = rows.where("_many").drop("_many")
-    best = copies.groupBy("_mid").agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")).select("_row.*")
-    return single.unionByName(best)
+    best = copies.groupBy("_mid").agg(F.min_by(F.struct(*df.columns), F.struct(*order, "_row")).alias("_best")).select("_best.*")
+    out = single.unionByName(best)
+    if seen is None:
+        return out
+    told = told_apart(out, **ids)
+    return told.where("_seq is null").select(*df.columns).unionByName(_covered(told.where("_seq is not null"), seen, "left_anti").select(*df.columns))
 
 
 # --- sequence identifiers ----------------------------------------------------------------------------------------------------------------
 
 
-def split_identifier(df: DataFrame, key: str, producer: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``_producer`` and ``_seq``, rows whose identifier is malformed). Null keys are malformed."""
-    ok = F.coalesce(F.col(key).rlike(SEQUENCE), F.lit(False))
-    seq = df.where(ok).withColumn("_producer", F.struct(F.col(producer).alias("p"), F.regexp_extract(key, SEQUENCE, 1).alias("s"))).withColumn("_seq", F.regexp_extract(key, SEQUENCE, 2).cast("long"))
-    return seq, df.where(~ok)
+BLOCK = 1 << 16  #: ranges are kept within blocks of so many numbers
 
 
-def merge_ranges(numbers: DataFrame, block: int = 1 << 16) -> DataFrame:
+def merge_ranges(numbers: DataFrame, block: int = BLOCK) -> DataFrame:
     """(_producer, lo, hi) of disjoint ranges from rows (_producer, lo, hi), overlapping or touching ones merged.
 
     Ranges are cut at multiples of `block` and merged within (producer, block), so that a producer with a third of all numbers is spread; a
@@ -146,14 +152,18 @@ def merge_ranges(numbers: DataFrame, block: int = 1 << 16) -> DataFrame:
     return isle.groupBy("_producer", "_b", "_isle").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("_producer", "lo", "hi")
 
 
-def accept_sequences(batch: DataFrame, seen: DataFrame, order=("received_at", "path", "line_number"), block: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
-    """One batch of a stream: (accepted rows, new state). `batch` comes from :func:`split_identifier`, `seen` holds (_producer, lo, hi)."""
-    cols = [c for c in batch.columns]
-    first = batch.groupBy("_producer", "_seq").agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_row")).select("_row.*")
-    numbered = first.withColumn("_b", F.floor(F.col("_seq") / block))
-    blocks = seen.withColumn("_b", F.floor(F.col("lo") / block)).withColumnRenamed("_producer", "_p")
-    hit = (numbered._producer.eqNullSafe(F.col("_p"))) & (numbered._b == blocks._b) & (F.col("_seq").between(F.col("lo"), F.col("hi")))
-    fresh = numbered.join(blocks, hit, "left_anti").select(*cols)
+def _covered(numbered: DataFrame, seen: DataFrame, how: str, block: int = BLOCK) -> DataFrame:
+    """Rows (_producer, _seq) whose number lies in a range of `seen` ('left_semi') or in none ('left_anti')."""
+    rows = numbered.withColumn("_b", F.floor(F.col("_seq") / block))
+    blocks = seen.select(F.col("_producer").alias("_p"), "lo", "hi", F.floor(F.col("lo") / block).alias("_rb"))
+    hit = rows._producer.eqNullSafe(F.col("_p")) & (F.col("_b") == F.col("_rb")) & F.col("_seq").between(F.col("lo"), F.col("hi"))
+    return rows.join(blocks, hit, how).drop("_b")
+
+
+def accept_sequences(batch: DataFrame, seen: DataFrame, order=("received_at", "path", "line_number"), block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """One batch of sequence identifiers (:func:`told_apart`): (accepted rows, new state). `seen` holds (_producer, lo, hi)."""
+    first = batch.groupBy("_producer", "_seq").agg(F.min_by(F.struct(*batch.columns), F.struct(*order)).alias("_row")).select("_row.*")
+    fresh = _covered(first, seen, "left_anti", block)
     state = merge_ranges(seen.select("_producer", "lo", "hi").unionByName(fresh.select("_producer", F.col("_seq").alias("lo"), F.col("_seq").alias("hi"))), block)
     return fresh, state
 
@@ -162,15 +172,12 @@ def accept_batch(batch: DataFrame, seen: DataFrame, known: DataFrame, key: str,
     """One batch of a stream with identifiers of any kind: (accepted rows, new ranges, new ids). Each message is accepted once over all batches.
 
     `seen` holds the ranges (_producer, lo, hi), `known` the digests (_key, _nid) of key and natural id of all earlier messages; the third result
-    is to be added to it. Keys: letter case ignored unless they are numbers. A null key is looked up by the natural id (`producer` and `rest`):
-    a row whose natural id is known goes, else it belongs to the least key of its batch with that natural id, else it stands for itself. If a
-    message was accepted without a key, the first key to come with its natural id (the least one in a batch) is its own, and goes.
+    is to be added to it. A null key is looked up by the natural id (`producer` and `rest`): a row whose natural id is known goes, else it belongs to the
+    least key of its batch with that natural id, else it stands for itself. If a message was accepted without a key, the first key to come with its
+    natural id (the least one in a batch) is its own, and goes.
     """
     cols = batch.columns
-    seq, odd = split_identifier(batch, key, producer)
-    seq = seq.withColumn("_key", _digest(F.col("_producer.p"), F.col("_producer.s"), F.col("_seq")))
-    odd = odd.withColumn("_key", F.when(F.col(key).isNotNull(), _digest(F.col(producer), F.lower(F.col(key)))))
-    rows = seq.unionByName(odd, allowMissingColumns=True).withColumn("_nid", natural_id(producer, rest))
+    rows = stored(told_apart(batch, key, producer, rest))
     keyed, bare = rows.where("_key is not null"), rows.where("_key is null").select(*cols, "_nid")
     least = keyed.join(bare.select("_nid").distinct(), "_nid", "left_semi").groupBy("_nid").agg(F.min(F.struct("_key", "_producer", "_seq")).alias("_least"))
     bare = bare.join(known.select("_nid").distinct(), "_nid", "left_anti").join(least, "_nid", "left").select(*cols, "_nid", "_least.*")
@@ -185,3 +192,18 @@ def accept_batch(batch: DataFrame, seen: DataFrame, known: DataFrame, key: str,
     late = keyed.join(waiting, "_nid", "left_semi").groupBy("_nid").agg(F.min("_key").alias("_key")).select("_key").distinct()
     fresh = numbered.unionByName(exact).join(late, "_key", "left_anti").select(*cols)
     return fresh, ranges, told.select("_key", "_nid").distinct().join(known, ["_key", "_nid"], "left_anti")
+
+
+RANGES, IDS = "_producer struct<p:string,s:string,w:int>, lo bigint, hi bigint", "_key binary, _nid binary"
+
+
+def accept_all(batches: list[DataFrame], key: str, producer: str, order=("received_at", "path", "line_number"), rest=REST) -> DataFrame:
+    """The accepted rows of several batches, one after the other, as a stream would accept them."""
+    spark = batches[0].sparkSession
+    seen, known, out = spark.createDataFrame([], RANGES), spark.createDataFrame([], IDS), None
+    for k, batch in enumerate(batches):
+        fresh, ranges, ids = accept_batch(batch, seen, known, key, producer, order, rest)
+        if k + 1 < len(batches):
+            seen, known = cut(ranges), cut(known.unionByName(ids))
+        out = fresh if out is None else out.unionByName(fresh)
+    return out

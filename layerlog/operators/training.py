@@ -44,6 +44,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return delivery.surplus(table(spark, d, "parsed_events").select(*ID, *KEYS)).select(*ID)
 
 
+def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of producers that count, in three batches by receipt: numbers by ranges, every tenth line by its digest. The accepted rows."""
+    counted = F.concat("source", F.lit("-"), "line_number")
+    e = table(spark, d, "parsed_events").select(*ID, *KEYS, "source").withColumn("id", F.when(F.col("line_number") % 10 == 0, F.coalesce("dedupe_key", "path")).otherwise(counted))
+    at = F.coalesce(F.to_date("received_at"), F.lit("2025-01-01").cast("date"))
+    edges = ("1970-01-01", "2025-10-24", "2025-10-29", "9999-01-01")
+    batches = [e.where((at >= F.lit(a).cast("date")) & (at < F.lit(b).cast("date"))) for a, b in zip(edges, edges[1:])]
+    return delivery.accept_all(batches, "id", "device_id").select(*ID)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return units.foreign_units(table(spark, d, "parsed_events"))
 
@@ -66,4 +76,4 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(table(spark, d, "raw_records"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_hours": p2_hours, "p3_found": p3_found, "p3_rows": p3_rows, "p5_celsius": p5_celsius, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_table": p7_table}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_hours": p2_hours, "p3_found": p3_found, "p3_rows": p3_rows, "p5_celsius": p5_celsius, "p4_found": p4_found, "p4_sequences": p4_sequences, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_table": p7_table}

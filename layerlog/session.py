@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: str = "8", app: str = "layerlog", **conf: str) -> SparkSession:
@@ -28,19 +29,29 @@ def build_session(cores: str = "8", app: str = "layerlog", **conf: str) -> Spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where none is set (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of the cluster (spark.checkpoint.dir). Only a local master may go without; then it is a temporary one."""
     ctx = spark.sparkContext
-    if shared:
-        if not ctx._jsc.sc().getCheckpointDir().isDefined():
-            ctx.setCheckpointDir(shared)
-        return shared
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not ctx._jsc.sc().getCheckpointDir().isDefined():
+        if not ctx.master.startswith("local") or ctx.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="layerlog-")
     if not ctx._jsc.sc().getCheckpointDir().isDefined():
-        ctx.setCheckpointDir(tempfile.mkdtemp(prefix="layerlog-"))
-    return ctx._jsc.sc().getCheckpointDir().get()
+        ctx.setCheckpointDir(shared)
+    return shared or ctx._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df):
+def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the checkpoint folder and cut its lineage (reliable; survives lost executors)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a Parquet table in the checkpoint folder, for what is read several times by some of its columns. Gone when the driver ends."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}")
+    df.write.parquet(path.toString())
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(path.toString())

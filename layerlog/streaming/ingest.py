@@ -38,7 +38,7 @@ class SequenceSink:
         self.spark, self.state, self.out, self.key, self.producer, self.order, self.rest = spark, state, out, key, producer, order, rest
 
     def _seen(self, batch_id: int) -> DataFrame:
-        schema = "_producer struct<p:string,s:string>, lo bigint, hi bigint"
+        schema = delivery.RANGES
         if batch_id == 0:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.state}/v{batch_id - 1}")

@@ -59,7 +59,7 @@ def test_repeats_and_empty(spark):
 
 
 def test_hot_messages_are_joined_in_pieces(spark, monkeypatch):
-    for name, value in (("HOT", 8), ("PIECE", 4), ("RUN", 16)):
+    for name, value in (("HOT", 8), ("PIECE", 4)):
         monkeypatch.setattr(delivery, name, value)
     same = rows_of(3)[0]
     hot = [{**same, "dedupe_key": k, "line_number": n} for n in range(1000, 1300) for k in ("00aa", None)]
@@ -71,19 +71,19 @@ def test_hot_messages_are_joined_in_pieces(spark, monkeypatch):
     assert got == brute(rows + again)
     assert sorted((r.path, r.line_number) for r in delivery.keep_one(df).collect()) == sorted((Counter((r["path"], r["line_number"]) for r in rows + again) - Counter(got)).elements())
     pieces = delivery._ranked(df).groupBy("_mid").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_s").alias("s"), F.count_distinct("line_number").alias("lines")).where("n >= 300").collect()
-    assert len(pieces) == 3 and all(p.s > 4 for p in pieces)  # 600 and 300 copies, and 300 exact repeats, which lie in 8 tasks
+    assert len(pieces) == 3 and all(p.s > 4 for p in pieces)  # 600 and 300 copies, and 300 exact repeats
 
 
 def test_sequences_accept_each_number_once(spark):
     schema = "id string, dev string, received_at long"
-    seen = spark.createDataFrame([], "_producer struct<p:string,s:string>, lo bigint, hi bigint")
+    seen = spark.createDataFrame([], delivery.RANGES)
     taken = []
     rnd = random.Random(5)
     for batch in range(3):
         rows = [(f"m-{rnd.randrange(30)}", rnd.choice("xy"), batch * 100 + i) for i in range(40)] + [("zz", "x", 1), (None, "x", 1)]
-        seq, odd = delivery.split_identifier(spark.createDataFrame(rows, schema), "id", "dev")
-        assert odd.count() == 2
-        fresh, seen = delivery.accept_sequences(seq, seen, ("received_at",), block=8)
+        told = delivery.told_apart(spark.createDataFrame(rows, schema), "id", "dev", ())
+        assert told.where("_seq is null").count() == 2
+        fresh, seen = delivery.accept_sequences(told.where("_seq is not null"), seen, ("received_at",), block=8)
         fresh, seen = spark.createDataFrame(fresh.collect(), fresh.schema), spark.createDataFrame(seen.collect(), seen.schema)
         taken += [(r.dev, r.id) for r in fresh.collect()]
     assert len(taken) == len(set(taken))
@@ -93,10 +93,28 @@ def test_sequences_accept_each_number_once(spark):
     assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(spans, spans[1:]))
 
 
+def test_padded_numbers_are_sequences_of_their_own(spark):
+    df = spark.createDataFrame([("m-7", "d"), ("m-07", "d"), ("m-007", "d"), ("m-0", "d"), ("m-7", "e"), ("M-7", "d")], "id string, dev string")
+    told = delivery.told_apart(df, "id", "dev", ()).collect()
+    assert len({(r._producer, r._seq) for r in told}) == len({bytes(r._key) for r in told}) == 6
+
+
+def test_ranges_and_lookup_in_one_plan(spark):
+    rows = [{**r, "dedupe_key": f"m-{i % 25}" if i % 3 else r["dedupe_key"] or "zz"} for i, r in enumerate(rows_of(8, 120))]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA)
+    assert sorted((r.path, r.line_number) for r in delivery.surplus(df).collect()) == brute(rows)
+    seen = spark.createDataFrame([(("a", "m-", 0), 3, 9)], delivery.RANGES)
+    kept = sorted((r.path, r.line_number) for r in delivery.keep_one(df, seen=seen).collect())
+    gone = sorted((r.path, r.line_number) for r in delivery.surplus(df, seen=seen).collect())
+    assert sorted(kept + gone) == sorted((r["path"], r["line_number"]) for r in rows)
+    again = {(r["device_id"], r["dedupe_key"]) for r in rows if (r["path"], r["line_number"]) in kept}
+    assert not {("a", f"m-{k}") for k in range(3, 10)} & again and ("b", "m-4") in again
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 9)), min_size=1, max_size=12))
 def test_merge_ranges(spark, spans):
-    df = spark.createDataFrame([(("p", ""), a, a + w) for a, w in spans], "_producer struct<p:string,s:string>, lo bigint, hi bigint")
+    df = spark.createDataFrame([(("p", "", 0), a, a + w) for a, w in spans], delivery.RANGES)
     got = [(r.lo, r.hi) for r in delivery.merge_ranges(df, block=16).collect()]
     assert {n for a, b in got for n in range(a, b + 1)} == {n for a, w in spans for n in range(a, a + w + 1)}
     assert sum(b - a + 1 for a, b in got) == len({n for a, b in got for n in range(a, b + 1)})
@@ -104,4 +122,4 @@ def test_merge_ranges(spark, spans):
 
 def test_message_ids_match_across_case(spark):
     df = spark.createDataFrame([("p", 1, "a", "AB", "k", "1", None, None, None, ""), ("p", 2, "a", "ab", "k", "2", None, None, None, ""), ("p", 3, "b", "ab", "k", "2", None, None, None, "")], SCHEMA)
-    assert delivery.message_id(df).select(F.count_distinct("_mid")).first()[0] == 2
+    assert delivery.message_id(delivery.told_apart(df)).select(F.count_distinct("_mid")).first()[0] == 2

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.instants import fixed
 from ..session import cut, stored
 
 SEQUENCE = r"^(.*?[^0-9a-fA-F])?([0-9]{1,18})$"
@@ -65,16 +66,14 @@ def told_apart(df: DataFrame, key="dedupe_key", device="device_id", rest=REST) -
 
     Letter case of malformed identifiers has no meaning; equal identifiers of different producers are different messages.
     """
-    text = F.col(key).cast("string")
+    text, ok = F.col(key).cast("string"), F.col("_ok")
     number, head = F.regexp_extract(text, SEQUENCE, 2), F.regexp_extract(text, SEQUENCE, 1)
-    ok = F.coalesce(text.rlike(SEQUENCE), F.lit(False))
     width = F.when(number.startswith("0") & (F.length(number) > 1), F.length(number)).otherwise(0)
-    out = df.withColumn("_producer", F.when(ok, F.struct(F.col(device).alias("p"), head.alias("s"), width.alias("w")))).withColumn("_seq", F.when(ok, number.cast("long")))
+    out = fixed(df, _ok=F.coalesce(text.rlike(SEQUENCE), F.lit(False)))  # the pattern is matched once
+    out = out.withColumn("_producer", F.when(ok, F.struct(F.col(device).alias("p"), head.alias("s"), width.alias("w")))).withColumn("_seq", F.when(ok, number.cast("long")))
     odd = F.when(F.col(key).isNotNull(), _digest(F.col(device), F.lower(F.col(key))))
-    return out.withColumn("_key", F.when(ok, _digest(F.col(device), F.lit("#"), head, width, F.col("_seq"))).otherwise(odd)).withColumn("_nid", natural_id(device, rest))
-
-
-_ADDED = ("_producer", "_seq", "_key", "_nid")
+    told = F.when(ok, _digest(F.col(device), F.lit("#"), F.col("_producer.s"), F.col("_producer.w"), F.col("_seq"))).otherwise(odd)
+    return out.withColumn("_key", told).withColumn("_nid", natural_id(device, rest)).drop("_ok")
 
 
 def message_id(told: DataFrame) -> DataFrame:
@@ -87,9 +86,9 @@ def message_id(told: DataFrame) -> DataFrame:
     return keyed.withColumn("_mid", F.col("_key")).unionByName(resolved.select(*told.columns, "_mid"))
 
 
-def _ranked(df: DataFrame, **ids) -> DataFrame:
-    """Rows with ``_mid``, ``_s`` (see :func:`_spread`) and ``_many``: null where the message has one copy. `df` is read once."""
-    rows = message_id(stored(told_apart(df, **ids).withColumn("_row", F.monotonically_increasing_id())))
+def _ranked(df: DataFrame, columns, **ids) -> DataFrame:
+    """`columns` of all rows with ``_mid``, ``_s`` (see :func:`_spread`) and ``_many``: null where the message has one copy. `df` is read once."""
+    rows = message_id(stored(told_apart(df, **ids).select(*dict.fromkeys(columns), "_key", "_nid", F.monotonically_increasing_id().alias("_row"))))
     counts = rows.groupBy("_mid").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     many = _for_all_pieces(counts).withColumn("_many", F.lit(True))
     return _spread(rows, "_mid", counts).join(many, ["_mid", "_s"], "left")
@@ -100,25 +99,26 @@ def _first(copies: DataFrame, order: tuple[str, ...]) -> DataFrame:
     return _for_all_pieces(copies.groupBy("_mid").agg(F.min(F.struct(*order, "_row")).alias("_first"), F.count(F.lit(1)).alias("_n")))
 
 
-def surplus(df: DataFrame, order=("received_at", "path", "line_number"), seen: DataFrame | None = None, **ids) -> DataFrame:
+def surplus(df: DataFrame, order=("received_at", "path", "line_number"), seen: DataFrame | None = None, columns=None, **ids) -> DataFrame:
     """The rows that go: every copy but the first by `order`, and, where `seen` gives ranges of sequence numbers (_producer, lo, hi), every copy of those.
 
     Nulls: a null key is looked up by the natural id; nulls in it equal each other. Of copies that tie on all of `order`, exact repeats too, one stays.
-    Empty input: empty result. Columns beyond those named pass through.
+    Empty input: empty result. `columns` (all by default) are those that come out.
     """
-    rows = _ranked(df, **ids)
-    copies = stored(rows.where("_many").drop("_many"))
-    out = copies.join(_first(copies, order), ["_mid", "_s"]).where(F.col("_row") != F.col("_first._row")).select(*df.columns)
+    columns = tuple(columns or df.columns)
+    rows = _ranked(df, (*columns, *order), **ids)
+    copies = stored(rows.where("_many").select(*dict.fromkeys((*columns, *order)), "_mid", "_s", "_row"))
+    out = copies.join(_first(copies, order), ["_mid", "_s"]).where(F.col("_row") != F.col("_first._row")).select(*columns)
     if seen is None:
         return out
     kept = keep_one(df, order, **ids)
     told = told_apart(kept, **ids).where("_seq is not null")
-    return out.unionByName(_covered(told, seen, "left_semi").select(*df.columns))
+    return out.unionByName(_covered(told, seen, "left_semi").select(*columns))
 
 
 def keep_one(df: DataFrame, order=("received_at", "path", "line_number"), seen: DataFrame | None = None, **ids) -> DataFrame:
     """The rows that stay, exactly one for each message (see :func:`surplus`)."""
-    rows = _ranked(df, **ids)
+    rows = _ranked(df, (*df.columns, *order), **ids)
     single = rows.where(F.col("_many").isNull()).select(*df.columns)
     copies = rows.where("_many").drop("_many")
     best = copies.groupBy("_mid").agg(F.min_by(F.struct(*df.columns), F.struct(*order, "_row")).alias("_best")).select("_best.*")

@@ -41,7 +41,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return delivery.surplus(table(spark, d, "parsed_events").select(*ID, *KEYS)).select(*ID)
+    return delivery.surplus(table(spark, d, "parsed_events").select(*ID, *KEYS), columns=ID)
 
 
 def p4_sequences(spark: SparkSession, d: str) -> DataFrame:

@@ -116,17 +116,17 @@ def surplus(df: DataFrame, order=("received_at", "path", "line_number"), seen: D
     return out.unionByName(_covered(told, seen, "left_semi").select(*columns))
 
 
-def keep_one(df: DataFrame, order=("received_at", "path", "line_number"), seen: DataFrame | None = None, **ids) -> DataFrame:
+def keep_one(df: DataFrame, order=("received_at", "path", "line_number"), seen: DataFrame | None = None, columns=None, **ids) -> DataFrame:
     """The rows that stay, exactly one for each message (see :func:`surplus`)."""
-    rows = _ranked(df, (*df.columns, *order), **ids)
-    single = rows.where(F.col("_many").isNull()).select(*df.columns)
+    columns = tuple(columns or df.columns)
+    if seen is not None:
+        told = told_apart(keep_one(df, order, **ids), **ids)
+        return told.where("_seq is null").select(*columns).unionByName(_covered(told.where("_seq is not null"), seen, "left_anti").select(*columns))
+    rows = _ranked(df, (*columns, *order), **ids)
+    single = rows.where(F.col("_many").isNull()).select(*columns)
     copies = rows.where("_many").drop("_many")
-    best = copies.groupBy("_mid").agg(F.min_by(F.struct(*df.columns), F.struct(*order, "_row")).alias("_best")).select("_best.*")
-    out = single.unionByName(best)
-    if seen is None:
-        return out
-    told = told_apart(out, **ids)
-    return told.where("_seq is null").select(*df.columns).unionByName(_covered(told.where("_seq is not null"), seen, "left_anti").select(*df.columns))
+    best = copies.groupBy("_mid").agg(F.min_by(F.struct(*columns), F.struct(*order, "_row")).alias("_best")).select("_best.*")
+    return single.unionByName(best)
 
 
 # --- sequence identifiers ----------------------------------------------------------------------------------------------------------------

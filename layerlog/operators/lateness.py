@@ -2,16 +2,20 @@
 
 The state of one source is a finger B-tree of partial aggregates keyed by period: leaves hold (period, partial), inner nodes the sum of their
 subtree.  Insertion starts at the right finger, climbs to the subtree that covers the key and updates the partials of its ancestors only; when
-the watermark moves, whole subtrees left of it are cut off at once.  Spark first reduces messages to one partial per (source, period, hours of
-delay), so a tree never sees single rows, and splits a source's time line into spans, so that a source with a third of all rows is many trees.
+the watermark moves, whole subtrees left of it are cut off at once.  A period is published by reading its partial from the tree when its time has come;
+what the tree holds later is its correction, and what the tree refuses, as the period was cut off, was too late.  Nothing else decides.
+
+Spark first reduces messages to one partial per (source, period, hours of delay), so a tree never sees single rows, and splits a source's time line into
+spans, so that a source with a third of all rows is many trees.  :func:`advance` takes the rows of a stored state and those of a batch; an empty state and all
+messages as one batch give the corrected table of :func:`corrected_hours`, a stored state and a stream's batch give the stream's.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOUR = 3600
@@ -64,6 +68,16 @@ class FingerTree:
             self._split(node)
         return True
 
+    def get(self, key):
+        """The partial of key, or None; from the right finger, like an insertion."""
+        node = self.finger
+        while node.up is not None and self._low(node) > key:
+            node = node.up
+        while node.kids is not None:
+            node = node.kids[max(0, bisect_right(node.keys, key) - 1)]
+        i = bisect_left(node.keys, key)
+        return node.vals[i] if i < len(node.keys) and node.keys[i] == key else None
+
     def _low(self, node):
         while node.kids:
             node = node.kids[0]
@@ -163,78 +177,178 @@ key_min = float("-inf")
 _VALUES = ["n", "printing", "idle", "bed_sum", "bed_n", "nozzle_sum", "nozzle_n", "chamber_sum", "chamber_n", "nozzle_max"]
 
 
-def partials(messages: DataFrame) -> DataFrame:
-    """(device_id, hour_s, delay_h, values): messages reduced by hour of event time and whole hours from the hour's end to receipt, rounded up."""
+KEYS = ("device_id",)
+#: a row of the state is an hour: `published` as it stood when it was due (null: nothing in time), or as it stands while it waits for that, `now` as it stands,
+#: messages refused, whether it is still open (in the tree) and waits, and the floor of its tree, below which hours are cut off
+STATE = "hour_s long, published array<double>, now array<double>, dropped long, open boolean, waiting boolean, floor_s long"
+
+
+def partials(messages: DataFrame, by=KEYS) -> DataFrame:
+    """(`by`, hour_s, delay_h, values): messages reduced by hour of event time and whole hours from the hour's end to receipt, rounded up."""
     start = F.floor(F.unix_micros("event_ts") / 1_000_000 / HOUR).cast("long") * HOUR
     delay = F.ceil((F.unix_micros("received_at") - (start + HOUR) * 1_000_000) / (HOUR * 1_000_000)).cast("long")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0.0)).cast("double")
-    return messages.withColumn("hour_s", start).withColumn("delay_h", F.greatest(F.coalesce(delay, F.lit(0)), F.lit(0))).groupBy("device_id", "hour_s", "delay_h").agg(
+    has = lambda c: c in messages.columns
+    value = {c: F.col(c) if has(c) else F.lit(None).cast("double") for c in ("bed_c", "nozzle_c", "chamber_c")}
+    rows = messages.withColumns({**value, "state": F.col("state") if has("state") else F.lit(None).cast("string"), "hour_s": start, "delay_h": F.greatest(F.coalesce(delay, F.lit(0)), F.lit(0))})
+    return rows.groupBy(*by, "hour_s", "delay_h").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.count_if(F.col("state") == "PRINTING").cast("double").alias("printing"), F.count_if(F.col("state") == "IDLE").cast("double").alias("idle"),
         total("bed_c").alias("bed_sum"), F.count("bed_c").cast("double").alias("bed_n"), total("nozzle_c").alias("nozzle_sum"), F.count("nozzle_c").cast("double").alias("nozzle_n"),
         total("chamber_c").alias("chamber_sum"), F.count("chamber_c").cast("double").alias("chamber_n"), F.max("nozzle_c").alias("nozzle_max"),
     )
 
 
-def _run_span(rows: list[tuple], grace: int, cutoff: int) -> list[tuple]:
-    """One tree over the partials (hour, delay, values) of a span, in order of arrival: (hour, published, final, late messages, dropped messages)."""
-    tree, published, final, late, dropped = FingerTree(), {}, {}, {}, {}
-    for hour, delay, values in sorted(rows, key=lambda r: (r[0] + r[1] * HOUR, r[0])):
-        # at this arrival, hours that ended more than `cutoff` hours ago are closed
-        final.update(tree.evict_below(hour + (delay - cutoff) * HOUR))
-        if delay > cutoff or not tree.insert(hour, values):
-            dropped[hour] = dropped.get(hour, 0) + values[0]
-            continue
-        if delay <= grace:
-            published[hour] = combine(published.get(hour), values)
-        else:
-            late[hour] = late.get(hour, 0) + values[0]
-    final.update(tree.items())
-    return [(h, published.get(h), final.get(h), late.get(h, 0), dropped.get(h, 0)) for h in sorted({*final, *dropped})]
-
-
-def corrected_hours(messages: DataFrame, grace: int = GRACE_H, cutoff: int = CUTOFF_H, span_h: int = SPAN_H) -> DataFrame:
-    """For each device and hour of event time: the aggregate as published `grace` hours after the hour's end (``published_*``), as it stands
-    when messages received up to `cutoff` hours after its end are counted (``samples``, ``avg_bed_c`` ...), and ``late``, ``dropped``: the
-    numbers of messages that corrected it and that came too late.
-
-    `messages`: device_id, event_ts, received_at, state, bed_c, nozzle_c, chamber_c, one row per message. Rows with a null event_ts are left out; a
-    null receipt counts as in time; null devices form one group. An hour with nothing in time has null published values; one with nothing but dropped messages has no samples.
+class Span:
+    """The tree of one source and span, and what became of its hours."""
+
+    def __init__(self, grace: int, cutoff: int):
+        self.grace, self.cutoff, self.tree = grace * HOUR, cutoff * HOUR, FingerTree()
+        self.due: list[int] = []  # hours that wait to be published, in order
+        self.published, self.closed, self.dropped = {}, {}, {}
+
+    def restore(self, hour, published, now, dropped, open_, waiting, floor) -> None:
+        """Takes an hour of a stored state, hours in order."""
+        if dropped:
+            self.dropped[hour] = dropped
+        if open_:
+            self.tree.insert(hour, now)
+        elif now is not None:
+            self.closed[hour] = now
+        if waiting:
+            insort(self.due, hour)
+        elif published is not None:
+            self.published[hour] = published
+        if floor is not None:
+            self.tree.floor = floor if self.tree.floor is None else max(self.tree.floor, floor)
+
+    def take(self, arrivals: list[tuple]) -> None:
+        """(hour, hours of delay, partial) in order of arrival."""
+        for hour, delay, values in sorted(arrivals, key=lambda r: (r[0] + r[1] * HOUR, r[0])):
+            at = hour + (1 + delay) * HOUR
+            self._publish(at)
+            self.closed.update(self.tree.evict_below(at - HOUR - self.cutoff))
+            if not self.tree.insert(hour, values):
+                self.dropped[hour] = self.dropped.get(hour, 0) + int(values[0])
+            elif hour + HOUR + self.grace >= at:
+                i = bisect_left(self.due, hour)
+                if i == len(self.due) or self.due[i] != hour:
+                    self.due.insert(i, hour)
+
+    def _publish(self, at: int) -> None:
+        """Publishes the hours that were due before `at` from the tree."""
+        n = bisect_left(self.due, at - HOUR - self.grace)
+        for hour in self.due[:n]:
+            if hour not in self.published:
+                self.published[hour] = self.tree.get(hour)
+        del self.due[:n]
+
+    def rows(self) -> list[tuple]:
+        """Rows of the state, hours in order; hours that aren't due yet have nothing to correct."""
+        live = dict(self.tree.items())
+        now = {**self.closed, **live}
+        waiting = set(self.due)
+        return [(h, self.published.get(h, now.get(h) if h in waiting else None), now.get(h), self.dropped.get(h, 0), h in live, h in waiting, self.tree.floor) for h in sorted({*now, *self.dropped})]
+
+
+def advance(state: DataFrame | None, parts: DataFrame, by=KEYS, grace: int = GRACE_H, cutoff: int = CUTOFF_H, span_h: int = SPAN_H) -> DataFrame:
+    """The state after a batch: (`by`, as text, STATE), one row an hour. `state` comes from an earlier call (None: nothing yet), `parts` from :func:`partials`.
+
+    Only the trees that a batch touches change, and those only along the paths of its hours; the arrivals of a batch are taken in order of receipt. Batches are
+    to come in that order too; what comes later than the cut-off of its hour is refused.
     """
-    parts = partials(messages.where("event_ts is not null")).withColumn("_span", F.floor(F.col("hour_s") / (span_h * HOUR)))
-    schema = "device_id string, hour_s long, samples long, printing_samples long, idle_samples long, avg_bed_c double, avg_nozzle_c double, max_nozzle_c double, avg_chamber_c double, published_samples long, published_avg_bed_c double, published_avg_nozzle_c double, late long, dropped long"
+    keys = ", ".join(f"`{k}` string" for k in by)
+    span = F.floor(F.col("hour_s") / (span_h * HOUR)).alias("_span")
+    none = lambda kind: F.lit(None).cast(kind)
+    parts = parts.withColumns({k: F.col(k).cast("string") for k in by})
+    rows = parts.select(*by, span, "hour_s", F.col("delay_h"), F.array(*_VALUES).alias("now"), none("array<double>").alias("published"), none("long").alias("dropped"), none("boolean").alias("open"), none("boolean").alias("waiting"), none("long").alias("floor_s"))
+    if state is not None:
+        rows = rows.unionByName(state.select(*by, span, "hour_s", none("long").alias("delay_h"), "now", "published", "dropped", "open", "waiting", "floor_s"))
+
+    names = [*by, *[x.split()[0] for x in STATE.split(", ")]]
+    shape = pa.schema([(n, t) for n, t in zip(names, [*[pa.string()] * len(by), pa.int64(), *[pa.list_(pa.float64())] * 2, pa.int64(), pa.bool_(), pa.bool_(), pa.int64()])])
+    tupled = lambda x: x if x is None else tuple(x)
 
     def run(batches):
-        # A task's partitions are sorted by tree; a tree may go on in the next batch.
-        key, rows, out = None, [], []
-
-        def close():
-            if not rows:
-                return
-            for h, p, f, late, dropped in _run_span(rows, grace, cutoff):
-                f, p = f or (0.0,) * 9 + (None,), p or (None,) * 10
-                avg = lambda s, n: s / n if n else None
-                out.append((key[0], h, int(f[0]), int(f[1]), int(f[2]), avg(f[3], f[4]), avg(f[5], f[6]), f[9], avg(f[7], f[8]), None if p[0] is None else int(p[0]), avg(p[3], p[4]), avg(p[5], p[6]), int(late), int(dropped)))
-
-        names = [x.split()[0] for x in schema.split(", ")]
+        key, tree, news, out = None, None, [], []
         for batch in batches:
-            values = batch[_VALUES].astype(object).where(batch[_VALUES].notna(), None)
-            for k, h, d, v in zip(zip(batch["device_id"].where(batch["device_id"].notna(), None), batch["_span"]), batch["hour_s"], batch["delay_h"], values.itertuples(index=False, name=None)):
+            cols = {n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns)}
+            heads = zip(*[cols[c] for c in (*by, "_span")])
+            for k, hour, delay, now, *rest in zip(heads, *[cols[c] for c in ("hour_s", "delay_h", "now", "published", "dropped", "open", "waiting", "floor_s")]):
                 if k != key:
-                    close()
-                    key, rows = k, []
-                rows.append((int(h), int(d), v))
-            if out:
-                yield pd.DataFrame(out, columns=names)
+                    if tree is not None:
+                        tree.take(news)
+                        out += [(*key[:-1], *r) for r in tree.rows()]
+                    key, tree, news = k, Span(grace, cutoff), []
+                if delay is None:
+                    published, dropped, open_, waiting, floor = rest
+                    tree.restore(hour, tupled(published), tupled(now), dropped, open_, waiting, floor)
+                else:
+                    news.append((hour, delay, tuple(now)))
+            if len(out) > 10_000:
+                yield _rows(out, shape)
                 out = []
-        close()
+        if tree is not None:
+            tree.take(news)
+            out += [(*key[:-1], *r) for r in tree.rows()]
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield _rows(out, shape)
+
+    laid = rows.repartition(*by, "_span").sortWithinPartitions(*by, "_span", "hour_s")
+    return laid.mapInArrow(run, f"{keys}, {STATE}")
 
-    return parts.repartition("device_id", "_span").sortWithinPartitions("device_id", "_span").mapInPandas(run, schema)
+
+def _rows(rows: list[tuple], shape: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), shape.types)], schema=shape)
+
+
+def corrected_hours(messages: DataFrame, by=KEYS, grace: int = GRACE_H, cutoff: int = CUTOFF_H, span_h: int = SPAN_H) -> DataFrame:
+    """For each source and hour of event time: what was published `grace` hours after the hour's end (``published``), what the tree holds when messages
+    received up to `cutoff` hours after its end are counted (``now``), and ``dropped``, the number of messages that the tree refused.
+
+    `messages`: `by`, event_ts, received_at and, where they are to be summed, state, bed_c, nozzle_c, chamber_c, one row per message. Rows with a null event_ts are
+    left out; a null receipt counts as in time; null devices form one group. An hour with nothing in time has no published partial; one with nothing but dropped
+    messages has no partial at all. Other columns are left out; no rows give none.
+    """
+    return advance(None, partials(messages.where("event_ts is not null"), by), by, grace, cutoff, span_h)
+
+
+def corrected(state: DataFrame) -> Column:
+    """Whether the tree's partial of an hour is no longer the one published."""
+    return F.col("now").isNotNull() & (F.col("published").isNull() | (F.col("now")[0] != F.col("published")[0]))
+
+
+def figures(partial: str, prefix: str = "") -> list[Column]:
+    """The figures of a partial as columns."""
+    v = lambda name: F.col(partial)[_VALUES.index(name)]
+    whole = {"samples": "n", "printing_samples": "printing", "idle_samples": "idle"}
+    avg = lambda x: F.try_divide(v(f"{x}_sum"), v(f"{x}_n"))
+    return [*[v(c).cast("long").alias(prefix + n) for n, c in whole.items()], avg("bed").alias(prefix + "avg_bed_c"), avg("nozzle").alias(prefix + "avg_nozzle_c"), v("nozzle_max").alias(prefix + "max_nozzle_c"), avg("chamber").alias(prefix + "avg_chamber_c")]
 
 
 def stale_hours(messages: DataFrame, grace: int = GRACE_H, cutoff: int = CUTOFF_H) -> DataFrame:
-    """(device_id, hour_s, outcome): 'corrected' and 'dropped' hours."""
-    found = corrected_hours(messages, grace, cutoff)
-    kinds = F.array_compact(F.array(F.when(F.col("late") > 0, "corrected"), F.when(F.col("dropped") > 0, "dropped")))
+    """(device_id, hour_s, outcome): 'corrected' and 'dropped' hours, by the partials of the trees."""
+    found = corrected_hours(messages, KEYS, grace, cutoff)
+    kinds = F.array_compact(F.array(F.when(corrected(found), "corrected"), F.when(F.col("dropped") > 0, "dropped")))
     return found.select("device_id", "hour_s", F.explode(kinds).alias("outcome"))
+
+
+def correct_table(published: DataFrame, messages: DataFrame, by=("device_id", "source", "model", "firmware")) -> DataFrame:
+    """`published` (agg_status_hourly: `by`, hour_ts and figures) brought up to date: (`by`, hour_s, figures as they stand, published_samples, late, dropped, change).
+
+    change: 'kept' (the table's count stands), 'corrected', 'added' (an hour the table doesn't have), 'unknown' (an hour of the table without messages at hand, which
+    keeps its figures). Nulls in `by` equal each other.
+    """
+    names = ["samples", "printing_samples", "idle_samples", "avg_bed_c", "avg_nozzle_c", "max_nozzle_c", "avg_chamber_c"]
+    hours = corrected_hours(messages, by)
+    new = hours.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("hour_s").alias("_hour"), *[c.alias(f"_{n}") for c, n in zip(figures("now"), names)], F.coalesce(F.col("published")[0].cast("long"), F.lit(0)).alias("_before"), "dropped")
+    old = published.select(*by, F.floor(F.unix_micros("hour_ts") / 1_000_000).cast("long").alias("hour_s"), *names)
+    same = F.col("hour_s") == F.col("_hour")
+    for k in by:
+        same = same & old[k].eqNullSafe(new[f"_{k}"])
+    both = old.join(new, same, "full_outer")
+    change = F.when(F.col("_hour").isNull(), "unknown").when(F.col("hour_s").isNull(), "added").when(F.col("samples") == F.col("_samples"), "kept").otherwise("corrected")
+    here = F.col("_hour").isNotNull()
+    return both.where(F.col("_hour").isNull() | F.col("_samples").isNotNull() | F.col("hour_s").isNotNull()).select(
+        *[F.when(here, F.col(f"_{k}")).otherwise(F.col(k)).alias(k) for k in by], F.coalesce("hour_s", "_hour").alias("hour_s"), *[F.when(F.col("_samples").isNotNull(), F.col(f"_{n}")).otherwise(F.col(n)).alias(n) for n in names],
+        F.col("samples").alias("published_samples"), (F.col("_samples") - F.col("_before")).alias("late"), F.coalesce("dropped", F.lit(0)).alias("dropped"), change.alias("change"),
+    )

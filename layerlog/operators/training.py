@@ -17,17 +17,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    none = F.lit(None).cast("double")
-    m = delivery.keep_one(table(spark, d, "parsed_events").select(*ID, *KEYS, "event_ts").where("kind = 'status'"))
-    return lateness.stale_hours(m.select("device_id", "event_ts", "received_at", "state", none.alias("bed_c"), none.alias("nozzle_c"), none.alias("chamber_c")))
+    m = delivery.keep_one(table(spark, d, "parsed_events").select(*ID, *KEYS, "event_ts").where("kind = 'status'"), columns=["device_id", "event_ts", "received_at"])
+    return lateness.stale_hours(m)
 
 
 def p2_hours(spark: SparkSession, d: str) -> DataFrame:
-    """The hours themselves, in °C: as published, as corrected, and how many messages came late or too late."""
+    """agg_status_hourly as it is to stand, in °C, with what was published and how many messages came late or too late."""
+    by = ["device_id", "source", "model", "firmware"]
     temps = ["temp_unit", "bed_temp", "nozzle_temp", "chamber_temp", "target_bed_temp", "target_nozzle_temp"]
-    e = table(spark, d, "parsed_events").select(*ID, *KEYS, "event_ts", *temps).where("kind = 'status'")
-    m = units.status_units(delivery.keep_one(e)).withColumn("chamber_c", F.col("chamber_temp"))
-    return lateness.corrected_hours(m.select("device_id", "event_ts", "received_at", "state", "bed_c", "nozzle_c", "chamber_c"))
+    e = table(spark, d, "parsed_events").select(*ID, *KEYS, *by[1:], "event_ts", *temps).where("kind = 'status'")
+    m = units.status_units(delivery.keep_one(e, columns=[*by, "kind", "job_id", "state", "event_ts", "received_at", *temps])).withColumn("chamber_c", F.col("chamber_temp"))
+    return lateness.correct_table(table(spark, d, "agg_status_hourly"), m, by)
 
 
 def p3_rows(spark: SparkSession, d: str) -> DataFrame:

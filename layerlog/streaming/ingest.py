@@ -5,17 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import delivery
+from ..operators import delivery, lateness
 from ..plans.pipeline import run_pipeline
 
 
-def hourly_stream(events: DataFrame, delay: str = "48 hours") -> DataFrame:
-    """Hourly status of a stream of messages by event time; an hour is final, and its state dropped, once the watermark has passed it by `delay`."""
-    marked = events.where("kind = 'status'").withWatermark("event_ts", delay)
-    hours = marked.groupBy("device_id", F.window("event_ts", "1 hour").alias("_w")).agg(
-        F.count(F.lit(1)).alias("samples"), F.count_if(F.col("state") == "PRINTING").alias("printing_samples"), F.avg("bed_c").alias("avg_bed_c"), F.avg("nozzle_c").alias("avg_nozzle_c"), F.max("nozzle_c").alias("max_nozzle_c")
-    )
-    return hours.select("device_id", F.col("_w.start").alias("hour_ts"), "samples", "printing_samples", "avg_bed_c", "avg_nozzle_c", "max_nozzle_c")
+class HourSink:
+    """foreachBatch target that keeps the trees of :mod:`..operators.lateness` between batches, and with them the hours as they stand: late messages correct the
+    partials of their hours, hours past the cut-off are closed, and what comes for them is refused. The state has one version a batch under `state`, so that a
+    batch that runs again starts from the same trees; versions older than the one before are deleted."""
+
+    def __init__(self, spark: SparkSession, state: str, by: tuple[str, ...] = lateness.KEYS, grace: int = lateness.GRACE_H, cutoff: int = lateness.CUTOFF_H):
+        self.spark, self.state, self.by, self.grace, self.cutoff = spark, state, by, grace, cutoff
+
+    def table(self, batch_id: int) -> DataFrame:
+        """The hours after a batch."""
+        return self.spark.read.parquet(f"{self.state}/v{batch_id}")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        before = self.table(batch_id - 1) if batch_id else None
+        parts = lateness.partials(batch.where("kind = 'status' and event_ts is not null"), self.by)
+        lateness.advance(before, parts, self.by, self.grace, self.cutoff).write.mode("overwrite").parquet(f"{self.state}/v{batch_id}")
+        _drop(self.spark, f"{self.state}/v{batch_id - 2}")
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def hourly_stream(events: DataFrame, sink: HourSink, checkpoint: str):
+    """Starts a stream of messages into `sink` until nothing is left."""
+    return events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def follow_landing(spark: SparkSession, root: str, parser_version: int = 1, checkpoint: str | None = None):
@@ -59,3 +80,4 @@ class SequenceSink:
         fresh.write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
         ranges.write.mode("overwrite").parquet(f"{self.state}/v{batch_id}")
         ids.write.mode("overwrite").parquet(f"{self.state}/ids/batch={batch_id}")
+        _drop(self.spark, f"{self.state}/v{batch_id - 2}")

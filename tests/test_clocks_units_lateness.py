@@ -128,8 +128,33 @@ def test_hours_against_brute_force(spark):
         if lag > 3600:
             want.add((d, int(end.timestamp()) - 3600, "dropped" if lag > 48 * 3600 else "corrected"))
     assert {tuple(r) for r in lateness.stale_hours(df).collect()} == want
-    full = {(r.device_id, r.hour_s): r for r in lateness.corrected_hours(df, span_h=6).collect()}
+    full = {(r.device_id, r.hour_s): r for r in lateness.corrected_hours(df, span_h=6).select("*", *lateness.figures("now")).collect()}
     for (d, h), r in full.items():
-        mine = [x for x in rows if x[1] and x[0] == d and int(x[1].replace(minute=0, second=0, microsecond=0).timestamp()) == h and (x[2] - x[1].replace(minute=0, second=0, microsecond=0)).total_seconds() <= 49 * 3600]
-        assert r.samples == len(mine) and (not mine or abs(r.avg_bed_c - sum(x[4] for x in mine) / len(mine)) < 1e-9)
+        at = lambda x: int(x[1].replace(minute=0, second=0, microsecond=0).timestamp())
+        lag = lambda x: (x[2] - x[1].replace(minute=0, second=0, microsecond=0)).total_seconds() / 3600 - 1
+        mine = [x for x in rows if x[1] and x[0] == d and at(x) == h]
+        kept = [x for x in mine if lag(x) <= 48]
+        assert (r.samples or 0) == len(kept) and r.dropped == len(mine) - len(kept) and (not kept or abs(r.avg_bed_c - sum(x[4] for x in kept) / len(kept)) < 1e-9)
+        if len(kept) > sum(lag(x) <= 1 for x in kept):
+            assert (r.published[0] if r.published else 0) == sum(lag(x) <= 1 for x in kept)
     assert lateness.stale_hours(df.limit(0)).count() == 0
+    # batches in order of receipt, with the state kept between them, end where one batch ends
+    state, rows = None, sorted((x for x in rows if x[1]), key=lambda x: x[2])
+    for k in range(0, len(rows), 151):
+        state = lateness.advance(state, lateness.partials(spark.createDataFrame(rows[k : k + 151], schema)))
+        state = spark.createDataFrame(state.collect(), state.schema)
+    final = lateness.corrected(state)
+    assert {(r.device_id, r.hour_s) for r in state.where(final).collect()} == {w[:2] for w in want if w[2] == "corrected"}
+    assert {(r.device_id, r.hour_s) for r in state.where("dropped > 0").collect()} == {w[:2] for w in want if w[2] == "dropped"}
+    assert {(r.device_id, r.hour_s): (r.now or [0])[0] for r in state.collect()} == {k: (r.now or [0])[0] for k, r in full.items()}
+
+
+def test_table_is_corrected(spark):
+    h = dt.datetime(2025, 10, 20, 5, tzinfo=UTC)
+    old = "device_id string, source string, model string, firmware string, hour_ts timestamp, samples long, printing_samples long, idle_samples long, avg_bed_c double, avg_nozzle_c double, max_nozzle_c double, avg_chamber_c double"
+    table = spark.createDataFrame([("d", "s", None, "1", h, 1, 1, 0, 5.0, 5.0, 5.0, None), ("d", "s", None, "1", h - dt.timedelta(hours=9), 7, 7, 0, 1.0, 1.0, 1.0, 1.0), ("e", "s", "m", "1", h, 1, 0, 1, 2.0, 2.0, 2.0, 2.0)], old)
+    m = [("d", "s", None, "1", h, h, "PRINTING", 5.0), ("d", "s", None, "1", h, h + dt.timedelta(hours=9), "IDLE", 7.0), ("d", "s", None, "1", h, h + dt.timedelta(hours=99), "IDLE", 70.0), ("d", "s", None, "2", h, h + dt.timedelta(hours=9), "IDLE", 1.0), ("e", "s", "m", "1", h, h, "IDLE", 2.0), ("f", "s", "m", "1", h, h + dt.timedelta(hours=60), "IDLE", 2.0)]
+    df = spark.createDataFrame(m, "device_id string, source string, model string, firmware string, event_ts timestamp, received_at timestamp, state string, bed_c double")
+    got = {(r.device_id, r.firmware, r.hour_s): (r.samples, r.avg_bed_c, r.late, r.dropped, r.change) for r in lateness.correct_table(table, df).collect()}
+    s = int(h.timestamp())
+    assert got == {("d", "1", s): (2, 6.0, 1, 1, "corrected"), ("d", "1", s - 9 * 3600): (7, 1.0, None, 0, "unknown"), ("d", "2", s): (1, 1.0, 1, 0, "added"), ("e", "1", s): (1, 2.0, 0, 0, "kept")}

@@ -1,21 +1,28 @@
 import datetime as dt
 
-from layerlog.streaming.ingest import SequenceSink, hourly_stream
+from layerlog.streaming.ingest import HourSink, SequenceSink, hourly_stream
 
-SCHEMA = "device_id string, kind string, state string, event_ts timestamp, bed_c double, nozzle_c double"
+SCHEMA = "device_id string, kind string, state string, event_ts timestamp, bed_c double, nozzle_c double, received_at timestamp"
 
 
-def test_hours_are_final_after_the_watermark(spark, tmp_path):
-    at = dt.datetime(2025, 10, 20, 5)
-    parts = [[("a", "status", "IDLE", at, 1.0, 2.0), ("a", "status", "PRINTING", at + dt.timedelta(minutes=5), 3.0, 4.0)], [("a", "status", "IDLE", at + dt.timedelta(hours=60), 1.0, 1.0)], [("a", "status", "IDLE", at, 9.0, 9.0)]]
-    for i, rows in enumerate(parts):
+def test_late_messages_correct_the_trees_of_a_stream(spark, tmp_path):
+    at = dt.datetime(2025, 10, 15, 5)
+    got = lambda h: at + dt.timedelta(hours=h)
+    batches = [
+        [("a", "status", "IDLE", at, 1.0, 2.0, at), ("a", "status", "PRINTING", at + dt.timedelta(minutes=5), 3.0, 4.0, at)],
+        [("a", "status", "IDLE", at, 8.0, 9.0, got(20))],  # late
+        [("a", "status", "IDLE", got(70), 1.0, 1.0, got(70)), ("a", "job_end", None, at, None, None, got(70))],
+        [("a", "status", "IDLE", at, 9.0, 9.0, got(71)), ("a", "status", "IDLE", None, 9.0, 9.0, got(71))],  # too late, and no time at all
+    ]
+    for i, rows in enumerate(batches):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = hourly_stream(stream).writeStream.format("memory").queryName("hours").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    got = spark.sql("SELECT device_id, samples, printing_samples FROM hours").collect()
-    assert len(got) <= 1 and all(r.samples in (2, 3) for r in got)
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        sink = HourSink(spark, str(tmp_path / "state"))
+        hourly_stream(stream, sink, str(tmp_path / "ck")).awaitTermination()
+        hours = {r.hour_s: r for r in sink.table(i).collect()}
+        first = hours[int(at.replace(tzinfo=dt.timezone.utc).timestamp())]
+        assert (first.now[0], first.now[3], first.published[0], first.dropped, first.open) == [(2, 4.0, 2, 0, True), (3, 12.0, 2, 0, True), (3, 12.0, 2, 0, False), (3, 12.0, 2, 1, False)][i]
+    assert len(hours) == 2 and hours[first.hour_s + 70 * 3600].now[0] == 1
 
 
 def test_sequence_sink_runs_again_alike(spark, tmp_path):

@@ -1,9 +1,10 @@
 """Temperatures recorded in several units, with labels that may be missing, odd or wrong: the true unit and the value in °C.
 
-A label is segmented into prefix, root and factor (:mod:`layerlog.functions.unitlabels`); what it says is one witness among others.  Each row
-then gives every unit a score: how well set points and readings, taken in that unit, agree with what printers do (set points are whole degrees
-Celsius in the range of the heater, or zero at rest; readings lie near them).  As all rows of a job share a unit, scores are added over the job,
-combined before the shuffle, and the unit with the most wins.  Rows without a job stand for themselves.
+A label is segmented into prefix, root, factor and exponent (:mod:`layerlog.functions.unitlabels`); its readings, weighed by the prior that a temperature field
+holds temperatures, are the prior of the row's unit.  Each row then gives every unit a score: that prior, and how well set points and readings, taken in
+that unit, agree with what printers do (set points are whole degrees Celsius in the range of the heater, or zero at rest; readings lie near them).  As all
+rows of a job share a unit, scores are added over the job, combined before the shuffle, and the unit with the most wins.  Rows without a job stand for
+themselves.  So labels decide where the values of a job leave several units open, and many values outweigh a wrong label.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.unitlabels import read_label
+from ..functions.unitlabels import readings
 
 #: name -> (slope, intercept) to °C
 UNITS = {"C": (1.0, 0.0), "F": (5.0 / 9.0, -32.0 * 5.0 / 9.0), "K": (1.0, -273.15), "dC": (0.1, 0.0)}
@@ -25,7 +26,16 @@ SET_WEIGHT, READING_WEIGHT, LABEL_WEIGHT = 6.0, 2.0, 1.0
 ROUNDING = 0.06
 
 
-_LABELS = {("C", 0): "C", ("F", 0): "F", ("K", 0): "K", ("C", -1): "dC"}
+_LABELS = {("C", 0, 1): "C", ("F", 0, 1): "F", ("K", 0, 1): "K", ("C", -1, 1): "dC"}
+
+
+def label_prior(label: str | None) -> dict[str, float]:
+    """{unit: weight} that the readings of a label give; what is no temperature unit of UNITS bears no witness."""
+    out: dict[str, float] = {}
+    for (dimension, *unit), weight in readings(label):
+        if dimension == "temperature" and tuple(unit) in _LABELS:
+            out[_LABELS[tuple(unit)]] = weight
+    return out
 
 
 def _evidence(unit: str, target: np.ndarray, reading: np.ndarray, ranges: dict) -> np.ndarray:
@@ -48,11 +58,12 @@ _EVIDENCE = T.StructType([T.StructField("label_unit", T.StringType()), *[T.Struc
 @F.pandas_udf(_EVIDENCE)
 def unit_evidence(label: pd.Series, t_nozzle: pd.Series, nozzle: pd.Series, t_bed: pd.Series, bed: pd.Series) -> pd.DataFrame:
     """What the label names, and each unit's score; each distinct label is segmented once a batch."""
-    named = label.map({x: _LABELS.get(read_label(x) or ()) for x in label.dropna().unique()}).astype(object)
+    priors = {x: label_prior(x) for x in label.dropna().unique()}
+    named = label.map({x: max(p, key=p.get) for x, p in priors.items() if p}).astype(object)
     named = named.where(named.notna(), None)
     tn, n, tb, b = (x.to_numpy(dtype=float, na_value=np.nan) for x in (t_nozzle, nozzle, t_bed, bed))
     with np.errstate(invalid="ignore"):
-        scores = {u: _evidence(u, tn, n, NOZZLE) + _evidence(u, tb, b, BED) + np.where((named == u).to_numpy(), LABEL_WEIGHT, 0.0) for u in UNITS}
+        scores = {u: _evidence(u, tn, n, NOZZLE) + _evidence(u, tb, b, BED) + LABEL_WEIGHT * label.map({x: p.get(u, 0.0) for x, p in priors.items()}).astype(float).fillna(0.0).to_numpy() for u in UNITS}
     return pd.DataFrame({"label_unit": named, **scores})
 
 

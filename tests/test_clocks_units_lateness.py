@@ -1,7 +1,9 @@
 import datetime as dt
 import random
 
-from layerlog.functions.unitlabels import read_label, read_unit
+from pyspark.sql import functions as F
+
+from layerlog.functions.unitlabels import read_label, read_unit, readings
 from layerlog.operators import clocks, lateness, units
 
 UTC = dt.timezone.utc
@@ -60,6 +62,24 @@ def test_exponents():
     assert [read_label(x) for x in ("C²", "K^-1", "m²", "°C⁰")] == [None] * 4  # no temperatures
 
 
+def test_ambiguous_labels_have_all_their_readings():
+    got = {(d, u): w for (d, u, p, e), w in readings("C") if (p, e) == (0, 1)}
+    assert got["temperature", "C"] > 0.95 > 0.1 > got["charge", "coulomb"] > 0 and abs(sum(w for _, w in readings("C")) - 1) < 1e-9
+    assert readings("C", "charge")[0][0][:2] == ("charge", "coulomb") and readings("F", "capacitance")[0][0][1] == "farad"
+    assert read_unit("MK") == ("K", 6, 1) != read_unit("mK") and {u[2] for u, _ in readings("MK")} >= {6, -3}
+    assert read_unit("GHz", "frequency") == ("Hz", 9, 1) and read_unit("nm", "length") == ("m", -9, 1) and read_unit("kPa", "pressure") == ("Pa", 3, 1) and read_unit("min", "time") == ("min", 0, 1)
+    assert readings("10 " * 3000) == () and units.label_prior("dC").keys() == {"dC"} and units.label_prior(None) == {}
+
+
+def test_labels_decide_what_values_leave_open(spark):
+    schema = "path string, line_number long, device_id string, job_id string, kind string, temp_unit string, bed_temp double, nozzle_temp double, target_bed_temp double, target_nozzle_temp double"
+    rows = [("p", i, "d", f"j{i // 3}", "status", label, 52.0, 62.0, None, None) for i, label in enumerate(["degF", "F", None, "C", "°C", "F", "farad", None, "fahrenheit", None, None, None])]
+    unit = lambda df: [r.unit for r in units.status_units(df).orderBy("line_number").collect()]
+    df = spark.createDataFrame(rows, schema)
+    assert unit(df) == ["F"] * 3 + ["C"] * 3 + ["F"] * 3 + ["C"] * 3
+    assert unit(df.withColumn("temp_unit", F.lit(None).cast("string"))) == ["C"] * 12
+
+
 def test_units_follow_the_job_not_the_label(spark):
     schema = "path string, line_number long, device_id string, job_id string, kind string, temp_unit string, bed_temp double, nozzle_temp double, target_bed_temp double, target_nozzle_temp double, extra int"
     conv = {"C": lambda c: c, "F": lambda c: c * 1.8 + 32, "K": lambda c: c + 273.15, "dC": lambda c: c * 10}

@@ -1,40 +1,55 @@
 """Schemas that drift between files: profiles of fields, matching of versions, one consistent table.
 
-Every file is profiled by field (dotted path): types seen, range of numbers, and a k-minimum-values sketch of the distinct values.  A file is
-compared with the one before it of the same device; fields that vanished and fields that appeared are the two sides of a bipartite graph whose
-edges weigh name similarity and similarity of value sketches.  The best assignment gives the renames, the rest are removals and additions.
+Every file is profiled by field (dotted path): types seen, range of numbers, and a k-minimum-values sketch of the distinct values, which for numbers are the
+values themselves, a sample of their distribution.  A file is compared with the one before it of the same device; fields that vanished and fields that
+appeared are the two sides of a bipartite graph whose edges weigh name similarity and similarity of value sketches.  The best assignment gives the
+renames, the rest are removals and additions.
+
+Records are read once: a batch becomes one packed profile for each file in it, profiles meet by file, and one row a file is stored.  Files are put in
+order without their profiles; those of files that differ from the one before are joined back.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import math
+import pickle
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 KMV = 24  #: values in a sketch
 NAME_WEIGHT, VALUE_WEIGHT, NUMBER_VALUE = 0.6, 0.4, 0.3
 ACCEPT = 0.39  #: least weight of a rename
-MAX_FIELDS = 50_000  #: distinct field names of one source that a mapping may hold; more is an error, not a cut
+WIDE = 1_000  #: typed columns of the unified table; less frequent fields stand in its map
 _UNITS = {"c", "f", "k", "degc", "degf", "celsius", "ms", "s", "us"}
 
 
-def flatten(obj, prefix: str = ""):
+# --- profiles ------------------------------------------------------------------------------------------------------------------------------
+
+
+def flatten(obj, prefix: str = "") -> Iterator[tuple]:
     """(dotted path, value) of every leaf; lists are leaves, empty objects too."""
-    if isinstance(obj, dict) and obj:
-        for k, v in obj.items():
-            yield from flatten(v, f"{prefix}.{k}" if prefix else str(k))
-    elif prefix:
-        yield prefix, obj
+    for k, v in obj.items():
+        path = f"{prefix}.{k}" if prefix else k
+        if type(v) is dict and v:
+            yield from flatten(v, path)
+        else:
+            yield path, v
+
+
+_KINDS = {bool: "b", int: "n", float: "n", str: "s", type(None): ""}
 
 
 def kind_of(v) -> str:
     """'n' number, 's' string, 'b' boolean, 'o' list or empty object, '' null."""
-    return "" if v is None else "b" if isinstance(v, bool) else "n" if isinstance(v, (int, float)) else "s" if isinstance(v, str) else "o"
+    return _KINDS.get(type(v), "o")
 
 
 def _number(v):
@@ -47,10 +62,67 @@ def _number(v):
     return x if x is not None and math.isfinite(x) else None
 
 
-def _hash(v) -> int:
-    x = _number(v)
-    text = repr(x) if x is not None else v if isinstance(v, str) else json.dumps(v, sort_keys=True)
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers as hashes, by their bits (splitmix64)."""
+    z = (x + 0.0).view(np.uint64)
+    with np.errstate(over="ignore"):
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _least(h: np.ndarray, *more: np.ndarray) -> tuple:
+    h, at = np.unique(h, return_index=True)
+    return tuple(x[:KMV] for x in (h, *[m[at] for m in more]))
+
+
+class Profile:
+    """What is known of a field: kinds, whether a string is no number, range and sketch of its numbers (also those written as text), sketch of its other values."""
+
+    __slots__ = ("kinds", "words", "lo", "hi", "numbers", "texts")
+
+    def __init__(self, kinds=frozenset(), words=False, lo=math.inf, hi=-math.inf, numbers=np.zeros(0), texts=np.zeros(0, np.uint64)):
+        self.kinds, self.words, self.lo, self.hi, self.numbers, self.texts = kinds, words, lo, hi, numbers, texts
+
+    @classmethod
+    def of(cls, values) -> "Profile":
+        """Of the values of a field in some records, taken as sets."""
+        types = set(map(type, values))
+        kinds = frozenset(_KINDS.get(t, "o") for t in types) - {""}
+        if kinds <= {"n"}:
+            distinct, others = set(values) - {None}, ()
+        else:
+            each = set(values) if "o" not in kinds else {v if kind_of(v) != "o" else json.dumps(v, sort_keys=True) for v in values}
+            pairs = [(v, None if type(v) is bool else _number(v)) for v in each if v is not None]
+            distinct = {x for _, x in pairs if x is not None}
+            others = sorted({v if isinstance(v, str) else repr(v) for v, x in pairs if x is None})
+        x = np.fromiter((v for v in map(_number, distinct) if v is not None), np.float64)
+        _, x_least = _least(_mixed(x), x)
+        texts = pd.util.hash_array(np.array(others, dtype=object)) if others else np.zeros(0, np.uint64)
+        return cls(kinds, bool(others) and "s" in kinds, x.min() if len(x) else math.inf, x.max() if len(x) else -math.inf, x_least, _least(texts)[0])
+
+    def plus(self, o: "Profile") -> "Profile":
+        x = np.concatenate([self.numbers, o.numbers])
+        return Profile(self.kinds | o.kinds, self.words or o.words, min(self.lo, o.lo), max(self.hi, o.hi), _least(_mixed(x), x)[1], _least(np.concatenate([self.texts, o.texts]))[0])
+
+    @property
+    def code(self) -> str:
+        return "".join(sorted(self.kinds))
+
+
+def _pack(fields: dict[str, Profile]) -> bytes:
+    return pickle.dumps({k: ("".join(p.kinds), p.words, p.lo, p.hi, p.numbers.tobytes(), p.texts.tobytes()) for k, p in fields.items()}, 5)
+
+
+def _unpack(raw: bytes) -> dict[str, Profile]:
+    """Of bytes that :func:`_pack` made in this job."""
+    return {k: Profile(frozenset(a), b, lo, hi, np.frombuffer(x, np.float64), np.frombuffer(t, np.uint64)) for k, (a, b, lo, hi, x, t) in pickle.loads(raw).items()}
+
+
+def _merge(a: dict[str, Profile], b: dict[str, Profile]) -> dict[str, Profile]:
+    for k, p in b.items():
+        a[k] = a[k].plus(p) if k in a else p
+    return a
 
 
 def _parse(payload):
@@ -61,50 +133,61 @@ def _parse(payload):
     return j if isinstance(j, dict) else None
 
 
-PROFILE = "path string, source string, field string, received long, kinds string, lo double, hi double, sketch array<long>"
+def _read(batches):
+    """(path, source, received, records, blob) of each file in a batch. Records of one layout are turned into columns."""
+    for pdf in batches:
+        layouts: dict = {}
+        newest: dict = {}
+        for path, source, at, payload in zip(pdf["path"], pdf["source"], pdf["received"].astype("Int64").to_numpy(dtype=object, na_value=None), pdf["payload"]):
+            key = (path, source)
+            newest[key] = max((x for x in (newest.get(key), at) if x is not None), default=None)
+            j = _parse(payload)
+            if j:
+                names, values = zip(*flatten(j))
+                layouts.setdefault(key, {}).setdefault(names, []).append(values)
+        rows = []
+        for key, by in layouts.items():
+            fields: dict = {}
+            for names, records in by.items():
+                _merge(fields, {n: Profile.of(c) for n, c in zip(names, zip(*records))})
+            rows.append((*key, newest[key], sum(map(len, by.values())), _pack(fields)))
+        yield pd.DataFrame(rows, columns=["path", "source", "received", "records", "blob"]).astype({"received": "Int64"})
+
+
+def _together(batches):
+    """One row a file from rows sorted by file, with the signature of its layout."""
+    key, at, n, fields = None, None, 0, {}
+
+    def out():
+        return (*key, at, n, "\x02".join(sorted(fields)), "\x02".join(f"{k}\x01{fields[k].code}" for k in sorted(fields)), _pack(fields))
+
+    for pdf in batches:
+        rows = []
+        for path, source, received, records, blob in zip(pdf["path"], pdf["source"], pdf["received"].astype("Int64").to_numpy(dtype=object, na_value=None), pdf["records"], pdf["blob"]):
+            if (path, source) != key:
+                if key is not None:
+                    rows.append(out())
+                key, at, n, fields = (path, source), None, 0, {}
+            at = max((x for x in (at, received) if x is not None), default=None)
+            n += records
+            _merge(fields, _unpack(blob))
+        yield pd.DataFrame(rows, columns=_FILE).astype({"received": "Int64"})
+    if key is not None:
+        yield pd.DataFrame([out()], columns=_FILE).astype({"received": "Int64"})
+
+
+_FILE = ["path", "source", "received", "records", "fields", "layout", "blob"]
 
 
 def profiles(records: DataFrame) -> DataFrame:
-    """(path, source, field, received, kinds, lo, hi, sketch) of each file's fields. `records`: path, source, received_at, payload.
+    """(path, source, received, records, fields, layout, blob): one row for each file (path, line's source) with a readable record, stored. `records`: path, source,
+    received_at, payload.
 
-    Reduced within each batch first. Payloads that aren't JSON objects have no fields; null paths are one file; null receipts come first.
+    Payloads that aren't JSON objects have no fields; null paths are one file.
     """
-
-    def run(batches):
-        for pdf in batches:
-            acc: dict = {}
-            seen: dict = {}
-            for path, source, at, payload in zip(pdf["path"], pdf["source"], pdf["received"], pdf["payload"]):
-                for field, v in flatten(_parse(payload) or {}):
-                    p = acc.get((path, source, field))
-                    if p is None:
-                        p = acc[path, source, field] = [None, set(), math.inf, -math.inf, {}]
-                    if not pd.isna(at):
-                        p[0] = int(at) if p[0] is None else max(p[0], int(at))
-                    if v is None:
-                        continue
-                    p[1].add(kind_of(v))
-                    x = _number(v)
-                    if x is not None:
-                        p[2], p[3] = min(p[2], x), max(p[3], x)
-                    text = v if isinstance(v, str) else repr(v)
-                    if text not in seen:
-                        if len(seen) > 100_000:
-                            seen.clear()
-                        seen[text] = _hash(v)
-                    h = p[4]
-                    h[seen[text]] = None
-                    if len(h) > 4 * KMV:
-                        p[4] = dict.fromkeys(sorted(h)[:KMV])
-            yield pd.DataFrame(
-                [(k[0], k[1], k[2], p[0], "".join(sorted(p[1])), None if p[2] > p[3] else p[2], None if p[2] > p[3] else p[3], sorted(p[4])[:KMV]) for k, p in acc.items()],
-                columns=["path", "source", "field", "received", "kinds", "lo", "hi", "sketch"],
-            ).astype({"received": "Int64"})
-
-    parts = records.select("path", "source", F.unix_micros("received_at").alias("received"), "payload").mapInPandas(run, PROFILE)
-    kinds = F.array_join(F.array_sort(F.array_distinct(F.split(F.array_join(F.collect_set("kinds"), ""), ""))), "")
-    sketch = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))), 1, KMV)
-    return parts.groupBy("path", "source", "field").agg(F.max("received").alias("received"), kinds.alias("kinds"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), sketch.alias("sketch"))
+    parts = records.select("path", "source", F.unix_micros("received_at").alias("received"), "payload").mapInPandas(_read, "path string, source string, received long, records long, blob binary")
+    met = parts.repartition("path", "source").sortWithinPartitions("path", "source")
+    return stored(met.mapInPandas(_together, "path string, source string, received long, records long, fields string, layout string, blob binary"))
 
 
 # --- matching ------------------------------------------------------------------------------------------------------------------------------
@@ -137,18 +220,28 @@ def name_similarity(a: str, b: str) -> float:
     return hit / (len(x) + len(y) - (len(y) - len(rest)))
 
 
-def value_similarity(a: dict, b: dict) -> float:
-    if not a["sketch"] or not b["sketch"]:
+def value_similarity(a: Profile, b: Profile) -> float:
+    """Of two fields' values. Numbers: overlap of their ranges and of their distributions, as far as the sketches show it. Others: share of common values."""
+    x, y = len(a.numbers) > 0, len(b.numbers) > 0
+    if not (x or len(a.texts)) or not (y or len(b.texts)):
         return 0.0
-    if a["lo"] is not None and b["lo"] is not None:
-        lo, hi = max(a["lo"], b["lo"]), min(a["hi"], b["hi"])
-        span = max(a["hi"], b["hi"]) - min(a["lo"], b["lo"])
-        return NUMBER_VALUE * (1.0 if span == 0 else max(0.0, (hi - lo) / span))
-    if (a["lo"] is None) != (b["lo"] is None) or (a["kinds"] == "b") != (b["kinds"] == "b"):
+    if x and y:
+        lo, hi, span = max(a.lo, b.lo), min(a.hi, b.hi), max(a.hi, b.hi) - min(a.lo, b.lo)
+        ranges = 1.0 if span == 0 else max(0.0, (hi - lo) / span)
+        at = np.sort(np.concatenate([a.numbers, b.numbers]))
+        share = lambda v: np.searchsorted(np.sort(v), at, "right") / len(v)
+        return NUMBER_VALUE * (0.8 * ranges + 0.2 * (1.0 - float(np.abs(share(a.numbers) - share(b.numbers)).max())))
+    if x != y or (a.code == "b") != (b.code == "b"):
         return 0.0
-    x, y = set(a["sketch"]), set(b["sketch"])
-    both = sorted(x | y)[:KMV]
-    return sum(h in x and h in y for h in both) / len(both)
+    u, v = set(a.texts.tolist()), set(b.texts.tolist())
+    both = sorted(u | v)[:KMV]
+    return sum(h in u and h in v for h in both) / len(both)
+
+
+def similarity(x: str, a: Profile, y: str, b: Profile) -> float:
+    """Weight of an edge between two fields; 0 below ACCEPT."""
+    w = NAME_WEIGHT * name_similarity(x, y) + VALUE_WEIGHT * value_similarity(a, b)
+    return w if w >= ACCEPT else 0.0
 
 
 def assign(weight: list[list[float]]) -> list[tuple[int, int]]:
@@ -186,19 +279,22 @@ def assign(weight: list[list[float]]) -> list[tuple[int, int]]:
     return [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j]]
 
 
-def compare(old: list[dict], new: list[dict]) -> list[tuple[str, str, str]]:
+def pairs(old: dict[str, Profile], new: dict[str, Profile]) -> list[tuple[str, str]]:
+    """The best matching of two sets of fields."""
+    a, b = sorted(old), sorted(new)
+    if not a or not b:
+        return []
+    w = [[similarity(x, old[x], y, new[y]) for y in b] for x in a]
+    return [(a[i], b[j]) for i, j in assign(w) if w[i][j] > 0]
+
+
+def compare(a: dict[str, Profile], b: dict[str, Profile]) -> list[tuple[str, str, str]]:
     """(change, old_field, new_field) between two versions."""
-    a, b = {f["field"]: f for f in old}, {f["field"]: f for f in new}
     gone, came = sorted(a.keys() - b.keys()), sorted(b.keys() - a.keys())
-    out = [("retyped", k, k) for k in sorted(a.keys() & b.keys()) if a[k]["kinds"] and b[k]["kinds"] and a[k]["kinds"] != b[k]["kinds"]]
-    if gone and came:
-        w = [[NAME_WEIGHT * name_similarity(x, y) + VALUE_WEIGHT * value_similarity(a[x], b[y]) for y in came] for x in gone]
-        w = [[s if s >= ACCEPT else 0.0 for s in row] for row in w]
-        pairs = [(gone[i], came[j]) for i, j in assign(w) if w[i][j] > 0]
-        out += [("renamed", x, y) for x, y in pairs]
-        gone = [x for x in gone if x not in {p[0] for p in pairs}]
-        came = [y for y in came if y not in {p[1] for p in pairs}]
-    return out + [("removed", x, "") for x in gone] + [("added", "", y) for y in came]
+    out = [("retyped", k, k) for k in sorted(a.keys() & b.keys()) if a[k].kinds and b[k].kinds and a[k].kinds != b[k].kinds]
+    renamed = pairs({k: a[k] for k in gone}, {k: b[k] for k in came})
+    left, right = {x for x, _ in renamed}, {y for _, y in renamed}
+    return out + [("renamed", x, y) for x, y in renamed] + [("removed", x, "") for x in gone if x not in left] + [("added", "", y) for y in came if y not in right]
 
 
 def changes(records: DataFrame, device: str = r"([^/]*?)(?:__[^/]*)?$") -> DataFrame:
@@ -208,76 +304,147 @@ def changes(records: DataFrame, device: str = r"([^/]*?)(?:__[^/]*)?$") -> DataF
     The file before is found by day and then between days, so that a device with a third of all files is spread over its days. A device's
     first file reports nothing. Null receipts come first; a file without a readable record has no fields and is passed over.
     """
-    fields = profiles(records)
-    entry = F.struct("field", "kinds", "lo", "hi", "sketch")
-    files = fields.groupBy("path", "source").agg(F.max("received").alias("_at"), F.collect_list(entry).alias("_fields"))
-    files = files.withColumn("_device", F.regexp_extract("path", device, 1)).withColumn("_at", F.coalesce("_at", F.lit(-(1 << 62)))).withColumn("_day", F.floor(F.col("_at") / 86_400_000_000))
-    rank = F.struct("_at", "path")
-    in_day = W.partitionBy("_device", "_day").orderBy("_at", "path")
-    days = files.groupBy("_device", "_day").agg(F.max_by("_fields", rank).alias("_last"))
+    return _changes(profiles(records), device)
+
+
+def _changes(files: DataFrame, device: str = r"([^/]*?)(?:__[^/]*)?$") -> DataFrame:
+    at = F.coalesce("received", F.lit(-(1 << 62)))
+    slim = files.select("path", "source", F.regexp_extract("path", device, 1).alias("_device"), at.alias("_at"), F.floor(at / 86_400_000_000).alias("_day"), F.unhex(F.md5("layout")).alias("_layout"))
+    this = F.struct("_at", "path", "source", "_layout")
+    in_day = W.partitionBy("_device", "_day").orderBy("_at", "path", "source")
+    days = slim.groupBy("_device", "_day").agg(F.max(this).alias("_last"))
     days = days.withColumn("_before", F.lag("_last").over(W.partitionBy("_device").orderBy("_day"))).drop("_last")  # one row a day
-    seq = files.withColumn("_in", F.lag("_fields").over(in_day)).join(days, ["_device", "_day"], "left").withColumn("_before", F.coalesce("_in", "_before"))
-    plain = lambda c: F.transform(c, lambda f: F.concat_ws("\x01", f["field"], f["kinds"]))
-    moved = seq.where(F.col("_before").isNotNull() & (F.array_sort(plain(F.col("_before"))) != F.array_sort(plain(F.col("_fields")))))
+    seq = slim.withColumn("_in", F.lag(this).over(in_day)).join(days, ["_device", "_day"], "left").withColumn("_before", F.coalesce("_in", "_before"))
+    moved = seq.where(F.col("_before").isNotNull() & (F.col("_before._layout") != F.col("_layout"))).select("path", "source", F.col("_before.path").alias("_p"), F.col("_before.source").alias("_s"))
+    new = files.select(F.col("path").alias("_np"), F.col("source").alias("_ns"), F.col("blob").alias("_new"))
+    old = files.select(F.col("path").alias("_op"), F.col("source").alias("_os"), F.col("blob").alias("_old"))
+    both = moved.join(new, moved.path.eqNullSafe(new._np) & moved.source.eqNullSafe(new._ns)).join(old, moved._p.eqNullSafe(old._op) & moved._s.eqNullSafe(old._os))
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for path, source, old, new in zip(pdf["path"], pdf["source"], pdf["_old"], pdf["_new"]):
-                rows += [(path, source, *c) for c in compare(json.loads(old), json.loads(new))]
+            rows = [(path, source, *c) for path, source, a, b in zip(pdf["path"], pdf["source"], pdf["_old"], pdf["_new"]) for c in compare(_unpack(a), _unpack(b))]
             yield pd.DataFrame(rows, columns=["path", "source", "change", "old_field", "new_field"])
 
-    full = lambda c: F.to_json(F.transform(c, lambda f: F.struct(f["field"].alias("field"), f["kinds"].alias("kinds"), f["lo"].alias("lo"), f["hi"].alias("hi"), f["sketch"].alias("sketch"))), {"ignoreNullFields": "false"})
-    return moved.select("path", "source", full(F.col("_before")).alias("_old"), full(F.col("_fields")).alias("_new")).mapInPandas(run, "path string, source string, change string, old_field string, new_field string")
+    return both.select("path", "source", "_old", "_new").mapInPandas(run, "path string, source string, change string, old_field string, new_field string")
 
 
 # --- one table -----------------------------------------------------------------------------------------------------------------------------
 
 
-def canonical_names(renames, usage) -> dict:
-    """{(source, field): name}: fields linked by renames share the name that most files use (ties: the least)."""
-    parent: dict = {}
-
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+def canonical_names(renames: dict, layouts: list, usage: dict) -> dict:
+    """{(source, field): name} within each source. renames: {(source, old, new): times reported}, layouts: (source, fields of one layout), usage: {(source, field): records}.
 
-    for s, a, b in renames:
-        parent[find((s, a))] = find((s, b))
-    groups: dict = {}
-    for x in parent:
-        groups.setdefault(find(x), []).append(x)
-    return {x: min(g, key=lambda y: (-usage.get(y, 0), y))[1] for g in groups.values() for x in g}
+    Renames link fields, the often reported first; a link that would join two fields which stand side by side in some layout is none, so that one wrong
+    rename can't run fields together. Linked fields share the name that most records use (ties: the least).
+    """
+    group: dict = {}
+    beside: dict = {}
+    for source, fields in layouts:
+        for f in fields:
+            group.setdefault((source, f), {(source, f)})
+            beside.setdefault((source, f), set()).update((source, g) for g in fields if g != f)
+    for (source, a, b), _ in sorted(renames.items(), key=lambda x: (-x[1], x[0])):
+        x, y = group[source, a], group[source, b]
+        if x is not y and not any(beside[f] & y for f in x):
+            x |= y
+            for f in y:
+                group[f] = x
+    return {f: min(g, key=lambda k: (-usage.get(k, 0), k[1]))[1] for f, g in group.items()}
+
+
+def across_sources(names: dict, seen: dict, size: dict) -> dict:
+    """The same with one name for a quantity of several sources: the fields of each further source are matched with those named before, the source with the most records
+    first. names: {(source, field): name}, seen: {(source, name): Profile}, size: {source: records}."""
+    known: dict[str, Profile] = {}
+    out: dict = {}
+    for source in sorted(size, key=lambda s: (-size[s], str(s))):
+        own = {n: p for (s, n), p in seen.items() if s == source}
+        same = {n: n for n in own if n in known}
+        rest = {n: p for n, p in own.items() if n not in same}
+        same.update((x, y) for x, y in pairs(rest, {k: p for k, p in known.items() if k not in same}))
+        for n, p in own.items():
+            name = same.get(n, n)
+            known[name] = known[name].plus(p) if name in known else p
+        out.update({(s, f): same.get(n, n) for (s, f), n in names.items() if s == source})
+    return out
+
+
+def column_type(p: Profile) -> str:
+    """double for numbers, also where some are written as text; boolean; else string. Strings that merely look like numbers stay strings."""
+    return "double" if "n" in p.kinds and p.kinds <= {"n", "s"} and not p.words else "boolean" if p.kinds == {"b"} else "string"
+
+
+def _schema(files: DataFrame) -> tuple[dict, dict]:
+    """({(source, field): name}, {name: type}) of the unified table. What the driver sees is the schema: layouts, renames and a profile for each source, not records."""
+
+    def by_source(batches):
+        found: dict = {}
+        for pdf in batches:
+            for source, records, blob in zip(pdf["source"], pdf["records"], pdf["blob"]):
+                n, fields = found.get(source, (0, {}))
+                found[source] = (n + records, _merge(fields, _unpack(blob)))
+        yield pd.DataFrame([(s, n, _pack(f)) for s, (n, f) in found.items()], columns=["source", "records", "blob"])
+
+    shape = "source string, records long, blob binary"
+    rows = files.select("source", "records", "blob").mapInPandas(by_source, shape).repartition("source").mapInPandas(by_source, shape).collect()
+    layouts = [(r.source, r.fields.split("\x02"), r.n) for r in files.groupBy("source", "fields").agg(F.sum("records").alias("n")).collect()]
+    usage: dict = {}
+    for source, fields, n in layouts:
+        for f in fields:
+            usage[source, f] = usage.get((source, f), 0) + n
+    found = _changes(files).where("change = 'renamed'").groupBy("source", "old_field", "new_field").count().collect()
+    renames = {(r.source, r.old_field, r.new_field): r["count"] for r in found if (r.source, r.old_field) in usage and (r.source, r.new_field) in usage}
+    names = canonical_names(renames, [(s, f) for s, f, _ in layouts], usage)
+    seen: dict = {}
+    for r in rows:
+        for f, p in _unpack(r.blob).items():
+            key = (r.source, names[r.source, f])
+            seen[key] = seen[key].plus(p) if key in seen else p
+    final = across_sources(names, seen, {r.source: r.records for r in rows})
+    whole, count = {}, {}
+    for (source, f), name in final.items():
+        count[name] = count.get(name, 0) + usage[source, f]
+    for (source, n), p in seen.items():
+        name = next(final[source, f] for f in (k[1] for k, v in names.items() if k[0] == source and v == n))
+        whole[name] = whole[name].plus(p) if name in whole else p
+    wide = sorted(sorted(whole, key=lambda n: (-count[n], n))[:WIDE])
+    return final, {n: column_type(whole[n]) for n in wide}
 
 
 def unified(records: DataFrame) -> DataFrame:
-    """(path, line_number, source, record): every record with its fields under one name each and numbers as numbers, as JSON with sorted keys.
+    """(path, line_number, source, one typed column for each field, others): every record with its fields under one name each, over all sources.
 
-    Names of fields are few (checked against MAX_FIELDS) and the only thing that the driver sees. A payload that isn't an object gives '{}'; if two fields
-    of a record share a name, the first non-null value in the order of paths stands.
+    Types: see :func:`column_type`; values of string columns that are no strings stand as JSON. `others` is a map of what has no place of its own, by its own path,
+    as text: the second of two fields of a record that share a name, a value that its column's type can't hold, and fields beyond the WIDE most frequent ones. So
+    no value is lost or changed. A payload that isn't an object gives nulls.
     """
-    found = changes(records).where("change = 'renamed'").groupBy("source", "old_field", "new_field").count()
-    links = found.limit(MAX_FIELDS + 1).collect()
-    if len(links) > MAX_FIELDS:
-        raise ValueError(f"more than {MAX_FIELDS} different renames")
-    usage: dict = {}
-    for r in links:
-        usage[r.source, r.new_field] = usage.get((r.source, r.new_field), 0) + r["count"]
-    names = canonical_names([(r.source, r.old_field, r.new_field) for r in links], usage)
+    files = profiles(records)
+    names, types = _schema(files)
+    place = {n: i for i, n in enumerate(types)}
+    kinds = list(types.values())
+    text = lambda v: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
     def run(batches):
         for pdf in batches:
-            out = []
+            rows = []
             for source, payload in zip(pdf["source"], pdf["payload"]):
-                rec: dict = {}
-                for field, v in sorted(flatten(_parse(payload) or {}), key=lambda x: x[0]):
-                    name = names.get((source, field), field)
-                    x = _number(v)
-                    if rec.get(name) is None:
-                        rec[name] = x if x is not None else v
-                out.append(json.dumps(rec, sort_keys=True, ensure_ascii=False))
-            yield pd.DataFrame({"path": pdf["path"], "line_number": pdf["line_number"], "source": pdf["source"], "record": out})
-
-    return records.select("path", "line_number", "source", "payload").mapInPandas(run, "path string, line_number long, source string, record string")
+                row, rest = [None] * len(place), {}
+                for field, v in flatten(_parse(payload) or {}):
+                    if v is None:
+                        continue
+                    i = place.get(names.get((source, field), field))
+                    x = None
+                    if i is not None and row[i] is None:
+                        x = text(v) if kinds[i] == "string" else _number(v) if kinds[i] == "double" else v if isinstance(v, bool) else None
+                    if x is None:
+                        rest[field] = text(v)
+                    else:
+                        row[i] = x
+                rows.append((*row, rest or None))
+            out = pd.DataFrame(rows, columns=[*types, "others"], dtype=object)
+            yield pd.concat([pdf[["path", "line_number", "source"]].reset_index(drop=True), out.set_axis([f"_{i}" for i in range(len(types))] + ["others"], axis=1)], axis=1)
+
+    shape = "path string, line_number long, source string, " + "".join(f"_{i} {k}, " for i, k in enumerate(kinds)) + "others map<string,string>"
+    out = records.select("path", "line_number", "source", "payload").mapInPandas(run, shape)
+    clash = {"path", "line_number", "source", "others"}
+    return out.select("path", "line_number", "source", *[F.col(f"_{i}").alias(f"record.{n}" if n in clash else n) for i, n in enumerate(types)], "others")

@@ -92,11 +92,42 @@ def test_changes(spark):
     got = {tuple(r)[:1] + tuple(r)[2:] for r in drift.changes(raw(spark, files)).collect()}
     p = files[1][0]
     assert got == {(p, "renamed", "k", "kind"), (p, "renamed", "bed_temp", "temps.bed"), (p, "renamed", "fw", "firmware"), (p, "retyped", "n", "n"), (p, "removed", "gone", ""), (p, "added", "", "seq")}
-    table = {r.path: json.loads(r.record) for r in drift.unified(raw(spark, files)).where("line_number = 0").collect()}
-    assert set(table[files[0][0]]) - {"gone"} == set(table[p]) - {"seq"} and table[files[0][0]]["n"] == table[p]["n"] == 1.0
     assert drift.changes(raw(spark, files).limit(0)).count() == 0
 
 
+def test_one_table_keeps_every_value(spark):
+    first = {"k": "status", "bed_temp": 60.5, "fw": "3.10", "n": 1, "dev": "007", "job": "1_000", "id": "1e5", "on": True, "gone": "z"}
+    second = {"kind": "status", "temps": {"bed": "61.0"}, "firmware": "3.10", "n": "1", "dev": "007", "job": "2_000", "id": "1e5", "on": False, "seq": [4, {"a": None}]}
+    files = [("x/d__1__a.jsonl", [first, "not json", None]), ("x/d__2__b.jsonl", [second, {"kind": None, "bed_temp": 1.0, "temps": {"bed": "hot"}}])]
+    out = drift.unified(raw(spark, files))
+    types = dict(out.dtypes)
+    assert (types["dev"], types["id"], types["job"], types["n"], types["on"]) == ("string", "string", "string", "double", "boolean") and drift.unified(raw(spark, files).limit(0)).count() == 0
+    got = {(r.path, r.line_number): r.asDict() for r in out.collect()}
+    a, b = got[files[0][0], 0], got[files[1][0], 0]
+    for r in (a, b):
+        assert (r["dev"], r["id"], r["n"]) == ("007", "1e5", 1.0) and "3.10" in r.values() and "status" in r.values()
+    assert a["job"] == "1_000" and a["gone"] == "z" and b["seq"] == '[4, {"a": null}]' and all(v is None for k, v in got[files[0][0], 1].items() if k not in ("path", "line_number", "source"))
+    odd = got[files[1][0], 1]
+    assert "hot" in {*odd.values(), *(odd["others"] or {}).values()} and any(v in (1.0, "1.0") for v in [*odd.values(), *(odd["others"] or {}).values()])
+
+
+def test_names_across_sources_and_no_false_unions():
+    p = lambda *v: drift.Profile.of(v)
+    names = drift.canonical_names({("s", "a", "b"): 5, ("s", "b", "c"): 1}, [("s", ["a", "c"]), ("s", ["b"])], {("s", "a"): 9, ("s", "b"): 1, ("s", "c"): 1})
+    assert names == {("s", "a"): "a", ("s", "b"): "a", ("s", "c"): "c"}
+    own = {("B", "bed_temp"): "bed_temp", ("B", "dev"): "dev", ("C", "temps.bed_c"): "temps.bed_c", ("C", "dev"): "dev"}
+    seen = {("B", "bed_temp"): p(60.0, 61.0, 24.0), ("B", "dev"): p("x"), ("C", "temps.bed_c"): p(60.0, 61.5, 24.0), ("C", "dev"): p("y")}
+    assert drift.across_sources(own, seen, {"B": 2, "C": 1})["C", "temps.bed_c"] == "bed_temp"
+
+
+def test_profiles_do_not_depend_on_how_records_are_batched():
+    rnd = random.Random(6)
+    values = [rnd.choice([None, True, "x", "12", rnd.random(), rnd.randrange(50), [1]]) for _ in range(400)]
+    whole, parts_ = drift.Profile.of(values), drift.Profile.of(values[:90]).plus(drift.Profile.of(values[90:]))
+    assert (whole.code, whole.words, whole.lo, whole.hi, whole.numbers.tolist(), whole.texts.tolist()) == (parts_.code, parts_.words, parts_.lo, parts_.hi, parts_.numbers.tolist(), parts_.texts.tolist())
+    assert drift._unpack(drift._pack({"a": whole}))["a"].numbers.tolist() == whole.numbers.tolist()
+
+
 def test_assignment_is_optimal():
     rnd = random.Random(1)
     for _ in range(60):

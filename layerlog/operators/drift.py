@@ -11,11 +11,12 @@ order without their profiles; those of files that differ from the one before are
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import pickle
 import re
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -34,14 +35,17 @@ _UNITS = {"c", "f", "k", "degc", "degf", "celsius", "ms", "s", "us"}
 # --- profiles ------------------------------------------------------------------------------------------------------------------------------
 
 
-def flatten(obj, prefix: str = "") -> Iterator[tuple]:
-    """(dotted path, value) of every leaf; lists are leaves, empty objects too."""
+def flatten(obj, prefix: str = "", names=None, values=None) -> tuple[list, list]:
+    """(dotted paths, values) of the leaves; lists are leaves, empty objects too."""
+    if names is None:
+        names, values = [], []
     for k, v in obj.items():
-        path = f"{prefix}.{k}" if prefix else k
         if type(v) is dict and v:
-            yield from flatten(v, path)
+            flatten(v, f"{prefix}{k}.", names, values)
         else:
-            yield path, v
+            names.append(prefix + k)
+            values.append(v)
+    return names, values
 
 
 _KINDS = {bool: "b", int: "n", float: "n", str: "s", type(None): ""}
@@ -62,61 +66,73 @@ def _number(v):
     return x if x is not None and math.isfinite(x) else None
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Numbers as hashes, by their bits (splitmix64)."""
+class _Texts(dict):
+    """What a string is: (number or None, hash). Strings come again and again."""
+
+    def __missing__(self, text):
+        if len(self) > 200_000:
+            self.clear()
+        out = self[text] = (_number(text), int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big"))
+        return out
+
+
+_TEXTS = _Texts()
+
+
+def _sample(numbers: set) -> tuple:
+    """At most KMV of the numbers, by the least hashes of their bits (splitmix64), in order of size."""
+    if len(numbers) <= KMV:
+        return tuple(sorted(numbers))
+    x = np.sort(np.fromiter(numbers, np.float64, len(numbers)))
     z = (x + 0.0).view(np.uint64)
     with np.errstate(over="ignore"):
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
+    return tuple(x[np.sort(np.argsort(z ^ (z >> np.uint64(31)), kind="stable")[:KMV])].tolist())
 
-def _least(h: np.ndarray, *more: np.ndarray) -> tuple:
-    h, at = np.unique(h, return_index=True)
-    return tuple(x[:KMV] for x in (h, *[m[at] for m in more]))
 
+class Profile(NamedTuple):
+    """What is known of a field: kinds, whether a string is no number, range and sample of its numbers (also those written as text), sketch of its other values."""
 
-class Profile:
-    """What is known of a field: kinds, whether a string is no number, range and sketch of its numbers (also those written as text), sketch of its other values."""
-
-    __slots__ = ("kinds", "words", "lo", "hi", "numbers", "texts")
-
-    def __init__(self, kinds=frozenset(), words=False, lo=math.inf, hi=-math.inf, numbers=np.zeros(0), texts=np.zeros(0, np.uint64)):
-        self.kinds, self.words, self.lo, self.hi, self.numbers, self.texts = kinds, words, lo, hi, numbers, texts
+    code: str = ""
+    words: bool = False
+    lo: float = math.inf
+    hi: float = -math.inf
+    numbers: tuple = ()
+    texts: tuple = ()
 
     @classmethod
     def of(cls, values) -> "Profile":
-        """Of the values of a field in some records, taken as sets."""
-        types = set(map(type, values))
-        kinds = frozenset(_KINDS.get(t, "o") for t in types) - {""}
+        """Of the values of a field in some records."""
+        kinds = {_KINDS.get(t, "o") for t in set(map(type, values))} - {""}
         if kinds <= {"n"}:
-            distinct, others = set(values) - {None}, ()
+            numbers, texts = {x for x in map(_number, set(values)) if x is not None}, set()
         else:
             each = set(values) if "o" not in kinds else {v if kind_of(v) != "o" else json.dumps(v, sort_keys=True) for v in values}
-            pairs = [(v, None if type(v) is bool else _number(v)) for v in each if v is not None]
-            distinct = {x for _, x in pairs if x is not None}
-            others = sorted({v if isinstance(v, str) else repr(v) for v, x in pairs if x is None})
-        x = np.fromiter((v for v in map(_number, distinct) if v is not None), np.float64)
-        _, x_least = _least(_mixed(x), x)
-        texts = pd.util.hash_array(np.array(others, dtype=object)) if others else np.zeros(0, np.uint64)
-        return cls(kinds, bool(others) and "s" in kinds, x.min() if len(x) else math.inf, x.max() if len(x) else -math.inf, x_least, _least(texts)[0])
+            numbers, texts = set(), set()
+            for v in each:
+                if v is None:
+                    continue
+                x, h = _TEXTS[v] if isinstance(v, str) else (None, _TEXTS[repr(v)][1]) if isinstance(v, bool) else (_number(v), None)
+                if x is not None:
+                    numbers.add(x)
+                elif h is not None:
+                    texts.add(h)
+        words = "s" in kinds and any(isinstance(v, str) and _TEXTS[v][0] is None for v in each)
+        return cls("".join(sorted(kinds)), words, min(numbers, default=math.inf), max(numbers, default=-math.inf), _sample(numbers), tuple(sorted(texts)[:KMV]))
 
     def plus(self, o: "Profile") -> "Profile":
-        x = np.concatenate([self.numbers, o.numbers])
-        return Profile(self.kinds | o.kinds, self.words or o.words, min(self.lo, o.lo), max(self.hi, o.hi), _least(_mixed(x), x)[1], _least(np.concatenate([self.texts, o.texts]))[0])
-
-    @property
-    def code(self) -> str:
-        return "".join(sorted(self.kinds))
+        code = self.code if self.code == o.code else "".join(sorted({*self.code, *o.code}))
+        return Profile(code, self.words or o.words, min(self.lo, o.lo), max(self.hi, o.hi), _sample({*self.numbers, *o.numbers}), tuple(sorted({*self.texts, *o.texts})[:KMV]))
 
 
 def _pack(fields: dict[str, Profile]) -> bytes:
-    return pickle.dumps({k: ("".join(p.kinds), p.words, p.lo, p.hi, p.numbers.tobytes(), p.texts.tobytes()) for k, p in fields.items()}, 5)
+    return pickle.dumps({k: tuple(p) for k, p in fields.items()}, 5)
 
 
 def _unpack(raw: bytes) -> dict[str, Profile]:
     """Of bytes that :func:`_pack` made in this job."""
-    return {k: Profile(frozenset(a), b, lo, hi, np.frombuffer(x, np.float64), np.frombuffer(t, np.uint64)) for k, (a, b, lo, hi, x, t) in pickle.loads(raw).items()}
+    return {k: Profile(*p) for k, p in pickle.loads(raw).items()}
 
 
 def _merge(a: dict[str, Profile], b: dict[str, Profile]) -> dict[str, Profile]:
@@ -133,50 +149,61 @@ def _parse(payload):
     return j if isinstance(j, dict) else None
 
 
+def _file(key: tuple, at, n: int, fields: dict[str, Profile]) -> tuple:
+    names = sorted(fields)
+    return (*key, at, n, "\x02".join(names), "\x02".join(f"{k}\x01{fields[k].code}" for k in names), _pack(fields))
+
+
+_FILE = ["path", "source", "received", "records", "fields", "layout", "blob"]
+_SHAPE = "path string, source string, received long, records long, fields string, layout string, blob binary"
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_FILE).astype({"received": "Int64"})
+
+
+def _columns(pdf: pd.DataFrame, *names: str):
+    return zip(*[pdf[c].astype("Int64").to_numpy(dtype=object, na_value=None) if c == "received" else pdf[c] for c in names])
+
+
 def _read(batches):
-    """(path, source, received, records, blob) of each file in a batch. Records of one layout are turned into columns."""
+    """A row for each file in a batch. Records of one layout are turned into columns."""
     for pdf in batches:
         layouts: dict = {}
         newest: dict = {}
-        for path, source, at, payload in zip(pdf["path"], pdf["source"], pdf["received"].astype("Int64").to_numpy(dtype=object, na_value=None), pdf["payload"]):
+        for path, source, at, payload in _columns(pdf, "path", "source", "received", "payload"):
             key = (path, source)
             newest[key] = max((x for x in (newest.get(key), at) if x is not None), default=None)
             j = _parse(payload)
             if j:
-                names, values = zip(*flatten(j))
-                layouts.setdefault(key, {}).setdefault(names, []).append(values)
+                names, values = flatten(j)
+                layouts.setdefault(key, {}).setdefault(tuple(names), []).append(values)
         rows = []
         for key, by in layouts.items():
             fields: dict = {}
             for names, records in by.items():
-                _merge(fields, {n: Profile.of(c) for n, c in zip(names, zip(*records))})
-            rows.append((*key, newest[key], sum(map(len, by.values())), _pack(fields)))
-        yield pd.DataFrame(rows, columns=["path", "source", "received", "records", "blob"]).astype({"received": "Int64"})
+                own = {n: Profile.of(c) for n, c in zip(names, zip(*records))}
+                fields = _merge(fields, own) if fields else own
+            rows.append(_file(key, newest[key], sum(map(len, by.values())), fields))
+        yield _frame(rows)
 
 
 def _together(batches):
-    """One row a file from rows sorted by file, with the signature of its layout."""
-    key, at, n, fields = None, None, 0, {}
-
-    def out():
-        return (*key, at, n, "\x02".join(sorted(fields)), "\x02".join(f"{k}\x01{fields[k].code}" for k in sorted(fields)), _pack(fields))
-
+    """One row a file from rows sorted by file. Most files lie in one batch and pass as they are."""
+    held: tuple | None = None
     for pdf in batches:
         rows = []
-        for path, source, received, records, blob in zip(pdf["path"], pdf["source"], pdf["received"].astype("Int64").to_numpy(dtype=object, na_value=None), pdf["records"], pdf["blob"]):
-            if (path, source) != key:
-                if key is not None:
-                    rows.append(out())
-                key, at, n, fields = (path, source), None, 0, {}
-            at = max((x for x in (at, received) if x is not None), default=None)
-            n += records
-            _merge(fields, _unpack(blob))
-        yield pd.DataFrame(rows, columns=_FILE).astype({"received": "Int64"})
-    if key is not None:
-        yield pd.DataFrame([out()], columns=_FILE).astype({"received": "Int64"})
-
-
-_FILE = ["path", "source", "received", "records", "fields", "layout", "blob"]
+        for row in _columns(pdf, *_FILE):
+            if held is not None and row[:2] == held[:2]:
+                at = max((x for x in (held[2], row[2]) if x is not None), default=None)
+                held = _file(row[:2], at, held[3] + row[3], _merge(_unpack(held[6]), _unpack(row[6])))
+                continue
+            if held is not None:
+                rows.append(held)
+            held = row
+        yield _frame(rows)
+    if held is not None:
+        yield _frame([held])
 
 
 def profiles(records: DataFrame) -> DataFrame:
@@ -185,9 +212,9 @@ def profiles(records: DataFrame) -> DataFrame:
 
     Payloads that aren't JSON objects have no fields; null paths are one file.
     """
-    parts = records.select("path", "source", F.unix_micros("received_at").alias("received"), "payload").mapInPandas(_read, "path string, source string, received long, records long, blob binary")
+    parts = records.select("path", "source", F.unix_micros("received_at").alias("received"), "payload").mapInPandas(_read, _SHAPE)
     met = parts.repartition("path", "source").sortWithinPartitions("path", "source")
-    return stored(met.mapInPandas(_together, "path string, source string, received long, records long, fields string, layout string, blob binary"))
+    return stored(met.mapInPandas(_together, _SHAPE))
 
 
 # --- matching ------------------------------------------------------------------------------------------------------------------------------
@@ -228,12 +255,12 @@ def value_similarity(a: Profile, b: Profile) -> float:
     if x and y:
         lo, hi, span = max(a.lo, b.lo), min(a.hi, b.hi), max(a.hi, b.hi) - min(a.lo, b.lo)
         ranges = 1.0 if span == 0 else max(0.0, (hi - lo) / span)
-        at = np.sort(np.concatenate([a.numbers, b.numbers]))
-        share = lambda v: np.searchsorted(np.sort(v), at, "right") / len(v)
+        at = sorted({*a.numbers, *b.numbers})
+        share = lambda v: np.searchsorted(v, at, "right") / len(v)
         return NUMBER_VALUE * (0.8 * ranges + 0.2 * (1.0 - float(np.abs(share(a.numbers) - share(b.numbers)).max())))
     if x != y or (a.code == "b") != (b.code == "b"):
         return 0.0
-    u, v = set(a.texts.tolist()), set(b.texts.tolist())
+    u, v = set(a.texts), set(b.texts)
     both = sorted(u | v)[:KMV]
     return sum(h in u and h in v for h in both) / len(both)
 
@@ -291,7 +318,7 @@ def pairs(old: dict[str, Profile], new: dict[str, Profile]) -> list[tuple[str, s
 def compare(a: dict[str, Profile], b: dict[str, Profile]) -> list[tuple[str, str, str]]:
     """(change, old_field, new_field) between two versions."""
     gone, came = sorted(a.keys() - b.keys()), sorted(b.keys() - a.keys())
-    out = [("retyped", k, k) for k in sorted(a.keys() & b.keys()) if a[k].kinds and b[k].kinds and a[k].kinds != b[k].kinds]
+    out = [("retyped", k, k) for k in sorted(a.keys() & b.keys()) if a[k].code and b[k].code and a[k].code != b[k].code]
     renamed = pairs({k: a[k] for k in gone}, {k: b[k] for k in came})
     left, right = {x for x, _ in renamed}, {y for _, y in renamed}
     return out + [("renamed", x, y) for x, y in renamed] + [("removed", x, "") for x in gone if x not in left] + [("added", "", y) for y in came if y not in right]
@@ -371,7 +398,7 @@ def across_sources(names: dict, seen: dict, size: dict) -> dict:
 
 def column_type(p: Profile) -> str:
     """double for numbers, also where some are written as text; boolean; else string. Strings that merely look like numbers stay strings."""
-    return "double" if "n" in p.kinds and p.kinds <= {"n", "s"} and not p.words else "boolean" if p.kinds == {"b"} else "string"
+    return "double" if p.code in ("n", "ns") and not p.words else "boolean" if p.code == "b" else "string"
 
 
 def _schema(files: DataFrame) -> tuple[dict, dict]:
@@ -429,7 +456,7 @@ def unified(records: DataFrame) -> DataFrame:
             rows = []
             for source, payload in zip(pdf["source"], pdf["payload"]):
                 row, rest = [None] * len(place), {}
-                for field, v in flatten(_parse(payload) or {}):
+                for field, v in zip(*flatten(_parse(payload) or {})):
                     if v is None:
                         continue
                     i = place.get(names.get((source, field), field))

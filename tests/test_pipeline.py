@@ -55,20 +55,28 @@ def test_fleet_against_truth(spark, tmp_path):
 
 
 def _semantic(spark, fact):
-    m = semantic.load()
-    ask = dict(metrics=["prints", "labelled_prints", "failed_prints", "unlabelled_prints", "failure_rate"], group_by=["model"], start=dt.datetime(2000, 1, 1), end=dt.datetime(2100, 1, 1))
-    a = semantic.ask(m, fact, **ask).collect()
+    cube = semantic.PRINT_JOBS
+    since, until = dt.datetime(2000, 1, 1), dt.datetime(2100, 1, 1)
     fact.createOrReplaceTempView("fact_print_job")
-    text, args = semantic.sql(m, **ask)
-    assert a == spark.sql(text, args=args).collect()
-    assert all(r.prints == r.labelled_prints + r.unlabelled_prints and abs(r.failure_rate - r.failed_prints / r.labelled_prints) < 1e-12 for r in a)
-    assert {d["column"] for d in m["dimensions"].values()} | set(m["entity"]["time"]) <= set(fact.columns)
-    with pytest.raises(ValueError, match="requires a time range"):
-        semantic.ask(m, fact, ["prints"])
-    with pytest.raises(ValueError, match="Not defined"):
-        semantic.sql(m, ["prints; drop"], [], None, 1, 2)
-    with pytest.raises(ValueError, match="Not defined"):
-        semantic.ask(m, fact, ["prints"], ["device_id"], None, 1, 2)
+    for by, only in ((["model"], None), ([], {"model": "C"}), (["firmware", "material"], {"model": "B", "outcome": "success"})):
+        r = cube.request(["prints", "failed_prints", "failure_rate"], by, only, since, until, companions=True)
+        text, args = r.statement()
+        a = r.frame(fact).collect()
+        assert a == spark.sql(text, args=args).collect() and r.measures == ("prints", "failed_prints", "failure_rate", "labelled_prints", "unlabelled_prints")
+        assert all(x.prints == x.labelled_prints + x.unlabelled_prints and (x.failure_rate is None or abs(x.failure_rate - x.failed_prints / x.labelled_prints) < 1e-12) for x in a)
+    whole = {x.model: x for x in cube.request(["failure_rate", "labelled_prints"], ["model"], None, since, until).frame(fact).collect()}
+    parts = cube.request(["failure_rate", "labelled_prints"], ["model", "firmware"], None, since, until).frame(fact).collect()
+    for m, x in whole.items():  # recomputed from counts, not averaged
+        assert abs(x.failure_rate * x.labelled_prints - sum(p.failure_rate * p.labelled_prints for p in parts if p.model == m)) < 1e-9
+    assert cube.columns() | {"start_ts", "first_observed_ts"} <= set(fact.columns)
+    e = cube.card("failure_rate")["examples"][0]
+    cube.request(["failure_rate"], e["by"], e["only"], since, until).frame(fact).collect()
+    assert set(cube.card("outcome")["values"]) == {"success", "failure", "unknown", "no_end_event"} and cube.card("failure_rate")["beside"] == ("labelled_prints", "unlabelled_prints")
+    for bad in (dict(measures=["prints"]), dict(measures=["prints; drop"], since=since, until=until), dict(measures=["prints"], by=["device_id"], since=since, until=until), dict(measures=["prints"], only={"x": 1}, since=since, until=until)):
+        with pytest.raises(ValueError):
+            cube.request(**bad)
+    text, args = cube.request(["prints"], [], {"model": "' OR 1=1 --"}, since, until).statement()
+    assert "1=1" not in text and spark.sql(text, args=args).first().prints == 0
 
 
 def test_increments(spark, tmp_path, monkeypatch):

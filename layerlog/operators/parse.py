@@ -149,10 +149,16 @@ def identity_key(device="device_id", kind="kind", raw="device_ts_raw", job="job_
     return F.sha2(F.to_json(F.array(F.col(device), F.col(kind), F.col(raw), F.coalesce(F.col(job), F.lit("")), F.when(F.col(kind) == "status", F.coalesce(F.col(state), F.lit(""))).otherwise(""))), 256)
 
 
+def judged(extracted: DataFrame, version: int) -> DataFrame:
+    """All lines with the columns of an event, ``reason`` and, where there is a reason, the ``line``."""
+    ok = F.col("reason").isNull()
+    rows = extracted.withColumn("parser_version", F.lit(version).cast("int")).withColumn("dedupe_key", F.when(ok, identity_key())).withColumn("event_date", F.when(ok, F.to_date("event_ts")))
+    rows = rows.withColumn("state", F.when(F.col("kind") == "status", F.col("state"))).withColumn("outcome", F.when(F.col("kind") == "job_end", F.col("outcome")))
+    return rows.withColumn("line", F.when(~ok, F.col("line"))).select(*EVENT_COLUMNS, "reason", "line", *[c for c in ("size", "sha256", "mtime_ms") if c in extracted.columns])
+
+
 def accepted(extracted: DataFrame, version: int) -> DataFrame:
-    ok = extracted.where("reason is null").withColumn("parser_version", F.lit(version).cast("int")).withColumn("dedupe_key", identity_key()).withColumn("event_date", F.to_date("event_ts"))
-    ok = ok.withColumn("state", F.when(F.col("kind") == "status", F.col("state"))).withColumn("outcome", F.when(F.col("kind") == "job_end", F.col("outcome")))
-    return ok.select(*EVENT_COLUMNS)
+    return judged(extracted, version).where("reason is null").select(*EVENT_COLUMNS)
 
 
 def quarantine(extracted: DataFrame, version: int) -> DataFrame:

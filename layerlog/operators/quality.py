@@ -29,6 +29,13 @@ def rejects_by_firmware(parsed: DataFrame, unparsed: DataFrame) -> DataFrame:
     return both.withColumn("reject_rate", F.col("rejected") / (F.col("accepted") + F.col("rejected")))
 
 
+def reasons_by_firmware(unparsed: DataFrame) -> DataFrame:
+    """(source, firmware, reasons): the lines of each reason as a map; a null firmware is 'unknown'. Reasons are a dozen."""
+    counts = unparsed.groupBy("source", F.coalesce("firmware", F.lit("unknown")).alias("firmware"), "reason").agg(F.count(F.lit(1)).alias("lines"))
+    known = counts.where("reason is not null").groupBy("source", "firmware").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "lines")))).alias("reasons"))
+    return known
+
+
 def format_suspects(parsed: DataFrame, unparsed: DataFrame) -> DataFrame:
     """(source, firmware, reason, lines): a reason that exactly one known firmware of a source gives, where the source has several.
 
@@ -41,11 +48,35 @@ def format_suspects(parsed: DataFrame, unparsed: DataFrame) -> DataFrame:
     return alone.join(several, "source", "left_semi").select("source", "firmware", "reason", "lines")
 
 
-def lateness(clean: DataFrame) -> DataFrame:
-    """(source, p50, p95, p99, over_one_day) of seconds from event to receipt; exact, interpolated percentiles."""
-    s = (F.unix_micros("received_at") - F.unix_micros("event_ts")) / 1e6
-    q = clean.withColumn("_s", s).groupBy("source").agg(F.percentile("_s", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("_q"), F.count_if(F.col("_s") > 86_400).alias("over_one_day"))
-    return q.select("source", *[F.col("_q")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "over_one_day")
+def lateness(clean: DataFrame, points=((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))) -> DataFrame:
+    """(source, p50, p95, p99, over_one_day) of seconds from event to receipt; exact, interpolated percentiles.
+
+    Values are counted first; running counts are taken within hours of lateness and over the hours, so that no task holds the values of a source, and the values at
+    the ranks are picked. Rows without either time bear no lateness, but their source is listed.
+    """
+    us = F.unix_micros("received_at") - F.unix_micros("event_ts")
+    counts = clean.select("source", us.alias("_v")).groupBy("source", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_h", F.floor(F.col("_v") / 3_600_000_000)).where("_v is not null")
+    hours = counts.groupBy("source", "_h").agg(F.sum("_c").alias("_hc"))
+    whole = hours.groupBy("source").agg(F.sum("_hc").alias("_n"))
+    hours = hours.withColumn("_before", F.sum("_hc").over(W.partitionBy("source").orderBy("_h").rowsBetween(W.unboundedPreceding, -1)))  # one row an hour of lateness
+    hours = hours.join(whole, "source").withColumn("_before", F.coalesce("_before", F.lit(0)))
+    low = {n: F.floor((F.col("_n") - 1) * p).cast("long") for p, n in points}
+    wanted = F.array_distinct(F.array(*[x for n in low for x in (low[n], F.least(low[n] + 1, F.col("_n") - 1))]))
+    # only hours that hold a rank are looked into
+    hit = hours.withColumn("_ranks", F.filter(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_hc")))).where(F.size("_ranks") > 0)
+    near = counts.join(hit.select("source", "_h", "_before", "_ranks", "_n"), ["source", "_h"])
+    end = F.col("_before") + F.sum("_c").over(W.partitionBy("source", "_h").orderBy("_v"))
+    at = near.withColumn("_end", end).withColumn("_rank", F.explode("_ranks")).where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_c")))
+    value = lambda r: F.max(F.when(F.col("_rank") == r, F.col("_v")))
+    picked = []
+    for p, n in points:
+        k = (F.col("_n") - 1) * F.lit(p)
+        a, b = value(low[n]), value(F.least(low[n] + 1, F.col("_n") - 1))
+        picked.append(((a + (b - a) * F.max(k - low[n])) / 1e6).alias(n))
+    got = at.groupBy("source").agg(*picked)
+    over = clean.groupBy("source").agg(F.count_if(us > 86_400_000_000).alias("over_one_day")).withColumnRenamed("source", "_s")
+    return over.join(got, F.col("_s").eqNullSafe(F.col("source")), "left").select(F.col("_s").alias("source"), *[n for _, n in points], "over_one_day")
 
 
 def counts_by(df: DataFrame, *keys: str, name: str = "lines") -> DataFrame:
@@ -62,7 +93,7 @@ def report(tables: dict[str, DataFrame], manifest: DataFrame) -> dict:
         "rows": lambda: {r.t: r.n for r in reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).withColumn("t", F.lit(k)) for k, df in tables.items()]).collect()},
         "coverage_by_source": lambda: rows(coverage(manifest), "source"),
         "unparsed_reasons": lambda: rows(counts_by(bad, "source", "reason"), "source", "reason"),
-        "by_version": lambda: rows(rejects_by_firmware(parsed, bad), "source", "firmware"),
+        "by_version": lambda: rows(rejects_by_firmware(parsed, bad).join(reasons_by_firmware(bad), ["source", "firmware"], "left").withColumn("reasons", F.coalesce("reasons", F.create_map().cast("map<string,bigint>"))), "source", "firmware"),
         "format_change_suspects": lambda: rows(format_suspects(parsed, bad), "source", "firmware", "reason"),
         "lateness_seconds": lambda: rows(lateness(clean), "source"),
         "timestamp_quality": lambda: rows(counts_by(clean, "timestamp_quality", name="events"), "timestamp_quality"),

@@ -15,7 +15,7 @@ SUFFIXES = (".txt", ".jsonl")
 class Upload:
     path: str
     size: int
-    mtime_ns: int
+    mtime_ms: int
 
 
 def discover(landing: str) -> list[Upload]:
@@ -29,31 +29,33 @@ def discover(landing: str) -> list[Upload]:
             p = os.path.join(top, n)
             if n.endswith(SUFFIXES) and os.path.isfile(p):
                 st = os.stat(p)
-                out.append(Upload(p, st.st_size, st.st_mtime_ns))
+                out.append(Upload(p, st.st_size, st.st_mtime_ns // 1_000_000))
     return sorted(out, key=lambda u: u.path)
 
 
-#: more files than this are read by their folders, as a list of paths is looked up one by one
-LISTED = 200
-
-
-def read_uploads(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, content, source, received_at, header), one row a file; source and receipt are taken from the path. Empty files have no row."""
+def read_uploads(spark: SparkSession, files: list[Upload]) -> DataFrame:
+    """(path, content, source, received_at, header, size, sha256, mtime_ms), one row a file; source and receipt are taken from the path, size and hash from the content
+    that was read, so that what is appended later is seen as a change. Empty files have no row."""
     named = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
-    if len(paths) <= LISTED:
-        raw = spark.read.text(paths, wholetext=True).withColumn("path", named)
-    else:
-        folders = sorted({os.path.dirname(p) for p in paths})
-        raw = spark.read.text(folders, wholetext=True, pathGlobFilter="*.{txt,jsonl}").withColumn("path", named)
-        there = sum(e.name.endswith(SUFFIXES) for f in folders for e in os.scandir(f))
-        if there > len(paths):  # other files lie in the same folders; the list of paths is the planner's own
-            raw = raw.join(F.broadcast(spark.createDataFrame([(p,) for p in paths], "path string")), "path", "left_semi")
+    folders = sorted({os.path.dirname(f.path) for f in files})
+    raw = spark.read.text(folders, wholetext=True, pathGlobFilter="*.{txt,jsonl}").withColumns({"path": named, "mtime_ms": F.unix_millis("_metadata.file_modification_time")})
+    there = sum(e.name.endswith(SUFFIXES) for f in folders for e in os.scandir(f))
+    if there > len(files):  # other files lie in the same folders
+        raw = raw.join(spark.createDataFrame([(f.path,) for f in files], "path string"), "path", "left_semi")
     seconds = F.regexp_extract("path", "__([0-9]+)", 1).try_cast("double")
-    return raw.select("path", F.col("value").alias("content"), F.regexp_extract("path", "source=([^/]+)", 1).alias("source"), seconds.try_cast("timestamp").alias("received_at"), F.substring_index("value", "\n", 1).alias("header"))
+    body = F.col("value")
+    return raw.select(
+        "path", body.alias("content"), F.regexp_extract("path", "source=([^/]+)", 1).alias("source"), seconds.try_cast("timestamp").alias("received_at"), F.substring_index(body, "\n", 1).alias("header"),
+        F.octet_length(body).cast("long").alias("size"), F.sha2(body, 256).alias("sha256"), "mtime_ms",
+    )
+
+
+OF_FILE = ("size", "sha256", "mtime_ms")  #: what lines know of the content they were read from
 
 
 def decode(uploads: DataFrame) -> DataFrame:
-    """(path, source, received_at, header, line_number, line) of every line that isn't blank or an upload header; lines count from 1, blank ones included."""
-    each = uploads.select("path", "source", "received_at", "header", F.posexplode(F.split("content", "\n")).alias("_pos", "_line"))
-    lines = each.select("path", "source", "received_at", "header", (F.col("_pos") + 1).cast("long").alias("line_number"), F.trim("_line").alias("line"))
+    """(path, source, received_at, header, line_number, line) of every line that isn't blank or an upload header; lines count from 1, blank ones included. Columns OF_FILE come along."""
+    head = ["path", "source", "received_at", "header", *[c for c in OF_FILE if c in uploads.columns]]
+    each = uploads.select(*head, F.posexplode(F.split("content", "\n")).alias("_pos", "_line"))
+    lines = each.select(*head, (F.col("_pos") + 1).cast("long").alias("line_number"), F.trim("_line").alias("line"))
     return lines.where((F.col("line") != "") & ~((F.col("source") == "genA") & F.col("line").startswith("#UPLOAD")))

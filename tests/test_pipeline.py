@@ -81,7 +81,7 @@ def _semantic(spark, fact):
 
 def test_increments(spark, tmp_path, monkeypatch):
     root = str(tmp_path)
-    with pytest.raises(ValueError, match="No landing"):
+    with pytest.raises(ValueError, match="no landing"):
         run_pipeline(spark, root)
     first = put(tmp_path, "genB", "b1", T0 + 600, [b(0, "job_start", material="PLA", layers="12.7"), status(60)])
     run_pipeline(spark, root)
@@ -106,7 +106,7 @@ def test_increments(spark, tmp_path, monkeypatch):
     # a failure while parsing changes nothing
     held = json.dumps(store.commit())
     put(tmp_path, "genB", "b2", T0 + 99, [status(1)])
-    monkeypatch.setattr(parse, "accepted", lambda *a: (_ for _ in ()).throw(RuntimeError("bad")))
+    monkeypatch.setattr(parse, "judged", lambda *a: (_ for _ in ()).throw(RuntimeError("bad")))
     with pytest.raises(RuntimeError):
         run_pipeline(spark, root)
     assert json.dumps(store.commit()) == held
@@ -114,7 +114,7 @@ def test_increments(spark, tmp_path, monkeypatch):
     # touched but equal: metadata only
     run_pipeline(spark, root)
     os.utime(first, ns=(1, 1))
-    assert run_pipeline(spark, root)["run"]["no_op"] and store.commit()["manifest"][str(first)]["mtime_ns"] == 1
+    assert run_pipeline(spark, root)["run"]["no_op"] and store.known(store.commit())[str(first)][1] == 0
     # what increments built is what one run over everything builds
     rows = lambda: {t: sorted(map(str, store.table(t).drop("path").collect())) for t in ("clean_events", "fact_print_job", "dim_printer", "agg_status_hourly")}
     built = rows()
@@ -125,6 +125,47 @@ def test_increments(spark, tmp_path, monkeypatch):
         run_pipeline(spark, root)
 
 
+def test_lines_appended_while_a_run_reads_arrive_with_the_next(spark, tmp_path, monkeypatch):
+    path = put(tmp_path, "genB", "b1", T0 + 600, [status(60)])
+    real = parse.judged
+
+    def grown(*a):
+        out = real(*a)
+        with path.open("a") as f:  # after the listing, before anything is read
+            f.write(json.dumps(status(90)) + "\n")
+        return out
+
+    write = pipeline.Store.write_plain
+
+    def later(self, df, table, run):  # and after the lines were read
+        if table == "manifest" and "-touched" not in run:
+            with path.open("a") as f:
+                f.write(json.dumps(status(120)) + "\n")
+        return write(self, df, table, run)
+
+    for attribute, change in ((("judged", parse), grown), (("write_plain", pipeline.Store), later)):
+        monkeypatch.setattr(attribute[1], attribute[0], change)
+        run_pipeline(spark, str(tmp_path))
+        monkeypatch.undo()
+        run_pipeline(spark, str(tmp_path))
+        lines = len(path.read_text().splitlines())
+        assert Store(spark, str(tmp_path)).table("parsed_events").count() == Store(spark, str(tmp_path)).table("clean_events").count() == lines
+        assert run_pipeline(spark, str(tmp_path))["run"]["no_op"]
+
+
+def test_batches_of_files_and_reasons(spark, tmp_path):
+    for k in range(5):
+        put(tmp_path, "genB", f"b{k}", T0 + 600 + k, [status(60 + k), "torn {"])
+    with pytest.raises(ValueError):
+        run_pipeline(spark, str(tmp_path), batch_files=0)
+    out = run_pipeline(spark, str(tmp_path), batch_files=2)
+    assert out["rows"]["parsed_events"] == 5 and out["run"]["files_processed"] == 5 and sum(r["lines"] for r in out["coverage_by_source"]) == 10
+    assert {(r["firmware"], tuple(r["reasons"].items())) for r in out["rejects_by_firmware"]["by_version"]} == {("2.2.0", (("invalid_json", 5),))}
+    put(tmp_path, "genB", "b9", T0 + 999, [])
+    out = run_pipeline(spark, str(tmp_path))
+    assert out["run"]["files_processed"] == 1 and run_pipeline(spark, str(tmp_path))["run"]["no_op"]
+
+
 def test_event_moves_across_midnight(spark, tmp_path):
     header = "#UPLOAD device=a1 model=A fw=1.5.0 device_time=2026-09-28 23:59:00\n"
     lines = ["2026-09-28 23:50:00 IDLE bed=24 nozzle=25 tgt_bed=0 tgt_nozzle=0 fan=0 job=-"]

@@ -74,8 +74,10 @@ def fixed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def in_zone(us: Column, zone: Column) -> Column:
-    """Wall microseconds in a named zone as an instant; a wall time that occurs twice means the first, unknown zones give null."""
+def in_zone(us: Column, zone: Column, known: bool = False) -> Column:
+    """Wall microseconds in a named zone as an instant; a wall time that occurs twice means the first, unknown zones give null. `known`: zones were held against the list before."""
+    if known:
+        return F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(us), zone))
     known = F.expr("array(" + ", ".join(f"'{z}'" for z in sorted(zones())) + ")")  # folded to a constant
     return F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(us), F.when(F.array_contains(known, zone), zone)))
 

@@ -9,7 +9,7 @@ evidence that no reading of it explains.  Named zones carry their own history of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.instants import US, explicit, fixed, in_zone, with_written, zones
@@ -29,7 +29,7 @@ def estimate_zones(free: DataFrame, devices: DataFrame) -> DataFrame:
     """
     used = [r.tz_name for r in devices.select("tz_name").distinct().collect()]  # names of zones, at most those of the tz database
     tried = free.select("device_id", "received_us", "us", F.explode(F.array(*[F.lit(z) for z in sorted(zones() & {*used})]).cast("array<string>")).alias("zone"))
-    at = in_zone(F.col("us"), F.col("zone"))
+    at = in_zone(F.col("us"), F.col("zone"), known=True)
     bad = (at > F.col("received_us") + SLACK_US) | (at < F.col("received_us") - DELAY_US) | at.isNull()
     score = tried.groupBy("device_id", "zone").agg(F.avg(F.coalesce(bad.cast("double"), F.lit(0.0))).alias("bad"), F.avg(F.abs(F.col("received_us") - at)).alias("delay"))
     declared = devices.groupBy("device_id").agg(F.min("tz_name").alias("tz_name"))
@@ -52,7 +52,7 @@ def true_instants(events: DataFrame, devices: DataFrame) -> DataFrame:
     done = rows.where(~open_).drop("_us", "_zone")
     free = rows.where(open_)
     zone = estimate_zones(free.select("device_id", F.col("_us").alias("us"), F.unix_micros("received_at").alias("received_us")), devices).withColumnRenamed("zone", "_in")
-    found = fixed(free.drop("event_us").join(zone, "device_id", "left"), event_us=in_zone(F.col("_us"), F.col("_in")))
+    found = fixed(free.drop("event_us").join(zone, "device_id", "left"), event_us=in_zone(F.col("_us"), F.col("_in"), known=True))
     found = found.withColumn("time_basis", F.when(F.col("event_us").isNotNull(), "estimated")).select(*done.columns)
     return done.unionByName(found)
 
@@ -62,10 +62,3 @@ def misdated(events: DataFrame, devices: DataFrame) -> DataFrame:
     need = ["path", "line_number", "source", "device_id", "device_ts_raw", "received_at", "event_ts", "clock_offset_seconds"]
     t = true_instants(events.select(*need), devices)
     return t.where(F.col("event_us").isNotNull() & (F.col("event_ts").isNull() | (F.unix_micros("event_ts") != F.col("event_us")))).select("path", "line_number", "event_us")
-
-
-def order_violations(events: DataFrame) -> DataFrame:
-    """(device_id, inversions): messages of one upload whose instants run backwards against their line numbers. A check of an estimate."""
-    w = W.partitionBy("device_id", "path").orderBy("line_number")
-    back = F.col("event_us") < F.lag("event_us").over(w)
-    return events.withColumn("_back", back).groupBy("device_id").agg(F.count_if("_back").alias("inversions"))

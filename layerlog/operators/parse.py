@@ -39,9 +39,19 @@ def whole_object(a: str = "a", j: str = "j") -> Column:
     return F.coalesce((F.size(a) == 1) & F.col(a)[0].isNotNull() & F.col(j).isNotNull(), F.lit(False))
 
 
+#: a number as text; underscores may stand between digits. The same contract as in :mod:`.structural`
+NUMBER = r"^\s*[+-]?(?:[0-9]+(?:_[0-9]+)*(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(?:[nN][aA][nN]|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?)\s*$"
+
+
 def number(x: Column) -> Column:
-    """Text as a double; type suffixes, which Java would take, are none."""
-    return F.when(~x.rlike(r"[0-9.][dDfF]\s*$"), x.try_cast("double"))
+    """Text as a double, null if it is none."""
+    return F.when(x.rlike(NUMBER), F.replace(x, F.lit("_")).try_cast("double"))
+
+
+def plain(x: Column) -> Column:
+    """A JSON number that came as text in Java's notation (1.760922518906E9) as it is written without an exponent; other text stays."""
+    digits = F.regexp_replace(x.try_cast("decimal(38,12)").cast("string"), "0+$", "")
+    return F.when(x.rlike(r"^-?[0-9]\.[0-9]+E[0-9]{1,2}$"), F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)).otherwise(x)
 
 
 def whole(x: Column) -> Column:
@@ -86,10 +96,10 @@ def extract(lines: DataFrame, version: int) -> DataFrame:
         model=_fields(top("model=([^ ]+)"), j("model"), j("device.model"), j("device.model")),
         firmware=_fields(top("fw=([^ ]+)"), j("fw"), j("device.fw"), j("device.fw")),
         kind=_fields(kind_a, j("k"), j("type"), F.lit("status")),
-        device_ts_raw=_fields(F.substring(line, 1, 19), j("t"), j("ts"), j("received_at")),
+        device_ts_raw=_fields(F.substring(line, 1, 19), plain(j("t")), j("ts"), j("received_at")),
         received=F.when(F.col("source") == "prusalink", F.when(j("received_at").rlike(r"^\d{4}-"), j("received_at").try_cast("timestamp"))).otherwise(F.col("received_at")),
         header_ts=_naive(top("device_time=(.{19})")),
-        job_id=_fields(F.coalesce(pick(" id=([^ ]+)"), F.nullif(pick(" job=([^ ]+)"), F.lit("-"))), j("job"), job_c, job_c),
+        job_id=_fields(F.coalesce(pick(" id=([^ ]+)"), F.nullif(pick(" job=([^ ]+)"), F.lit("-"))), plain(j("job")), job_c, job_c),
         state=_fields(F.when(mark("THERM"), "PRINTING").otherwise("IDLE"), j("state"), j("state"), j(snap + "state")),
         material=_fields(pick('material="([^"]+)"'), j("material"), F.get_json_object(j("job"), "$.material"), F.get_json_object(j("job"), "$.material")),
         layers=_fields(pick(" layers=([^ ]+)"), j("layers"), F.get_json_object(j("job"), "$.layers"), F.get_json_object(j("job"), "$.layers")),
@@ -108,7 +118,7 @@ def extract(lines: DataFrame, version: int) -> DataFrame:
     rows = rows.withColumns(numbers | {"layers": whole(F.col("layers"))})
     offset_us = F.unix_micros("received") - F.unix_micros("header_ts")
     shifted = F.timestamp_micros(F.unix_micros(_naive(F.col("device_ts_raw"))) + offset_us)
-    from_ms = (number(F.col("device_ts_raw")) / 1000).try_cast("timestamp")
+    from_ms = F.timestamp_micros((F.round(number(F.col("device_ts_raw")) / 1000 * 1_000_000)).try_cast("long"))  # to the nearest microsecond
     event = _fields(shifted, from_ms, _zoned(F.col("device_ts_raw")), _zoned(F.col("device_ts_raw")))
     rows = fixed(rows, event_ts=event, clock_offset_seconds=F.when(F.col("source") == "genA", offset_us / 1e6))
     rows = rows.withColumn("timestamp_quality", F.when(F.col("source") == "genA", "upload_offset_estimate").when(F.col("source") == "prusalink", "received_only").otherwise("device_utc"))

@@ -26,8 +26,9 @@ from ..session import cut, stored
 SEQUENCE = r"^(.*?[^0-9a-fA-F])?([0-9]{1,18})$"
 #: what identifies a message of `parsed_events` on its device if its key was lost
 REST = ("kind", "device_ts_raw", "job_id", "state")
-#: an id of more rows than this is joined in pieces of about PIECE rows
-HOT, PIECE = 1 << 17, 1 << 16
+#: an id of more than HOT rows is joined in pieces of about half as many; the list of such ids is broadcast and never has more than HOT_IDS entries (4 MB), as on
+#: tables of more than HOT x HOT_IDS rows an id is hot from that share of the rows on
+HOT, HOT_IDS = 1 << 17, 100_000
 
 
 def _digest(*cols: Column) -> Column:
@@ -41,24 +42,24 @@ def natural_id(device="device_id", rest=REST) -> Column:
     return _digest(F.col(device), *(F.col(c) for c in rest))
 
 
-def _pieces() -> Column:
+def _pieces(hot: int) -> Column:
     """In how many pieces an id of ``_n`` rows is joined."""
-    return F.when(F.col("_n") > HOT, F.ceil(F.col("_n") / PIECE)).otherwise(1)
+    return F.when(F.col("_n") > hot, F.ceil(F.col("_n") * 2 / hot)).otherwise(1)
 
 
-def _spread(rows: DataFrame, key: str, counts: DataFrame) -> DataFrame:
-    """`rows` with ``_s``, the piece they are joined in; `counts` (`key`, _n) tells hot ids, of which there are at most one for each HOT rows.
+def _spread(rows: DataFrame, key: str, counts: DataFrame, most: int) -> DataFrame:
+    """`rows` with ``_s``, the piece they are joined in; `counts` (`key`, _n) tells hot ids, those of more than `most` rows.
 
     The piece depends on the number of the row in the stored table, so that exact repeats are spread, and a task that runs again gives the same.
     """
-    hot = counts.where(F.col("_n") > HOT).select(key, _pieces().alias("_parts"))
+    hot = counts.where(F.col("_n") > most).select(key, _pieces(most).alias("_parts"))
     piece = F.pmod(F.xxhash64("_row"), F.col("_parts"))
     return rows.join(F.broadcast(hot), key, "left").withColumn("_s", F.coalesce(piece, F.lit(0).cast("bigint"))).drop("_parts")
 
 
-def _for_all_pieces(small: DataFrame) -> DataFrame:
+def _for_all_pieces(small: DataFrame, most: int) -> DataFrame:
     """`small` (with ``_n``) once for each piece of its ids."""
-    return small.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), (_pieces() - 1).cast("bigint")))).drop("_n")
+    return small.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), (_pieces(most) - 1).cast("bigint")))).drop("_n")
 
 
 def told_apart(df: DataFrame, key="dedupe_key", device="device_id", rest=REST) -> DataFrame:
@@ -76,27 +77,29 @@ def told_apart(df: DataFrame, key="dedupe_key", device="device_id", rest=REST) -
     return out.withColumn("_key", told).withColumn("_nid", natural_id(device, rest)).drop("_ok")
 
 
-def message_id(told: DataFrame) -> DataFrame:
+def message_id(told: DataFrame, most: int = HOT) -> DataFrame:
     """Adds ``_mid`` to rows of :func:`told_apart`: the key, and for keyless rows the least key of a keyed row with the same natural id, else the natural id itself."""
     keyed, keyless = told.where(F.col("_key").isNotNull()), told.where(F.col("_key").isNull())
     wanted = keyless.groupBy("_nid").agg(F.count(F.lit(1)).alias("_n"))
     # Only natural ids that a keyless row asks for survive.
     found = keyed.select("_nid", F.hex("_key").alias("_k")).join(wanted, "_nid").groupBy("_nid").agg(F.unhex(F.min("_k")).alias("_found"), F.max("_n").alias("_n"))
-    resolved = _spread(keyless, "_nid", wanted).join(_for_all_pieces(found), ["_nid", "_s"], "left").withColumn("_mid", F.coalesce("_found", "_nid"))
+    resolved = _spread(keyless, "_nid", wanted, most).join(_for_all_pieces(found, most), ["_nid", "_s"], "left").withColumn("_mid", F.coalesce("_found", "_nid"))
     return keyed.withColumn("_mid", F.col("_key")).unionByName(resolved.select(*told.columns, "_mid"))
 
 
-def _ranked(df: DataFrame, columns, **ids) -> DataFrame:
-    """`columns` of all rows with ``_mid``, ``_s`` (see :func:`_spread`) and ``_many``: null where the message has one copy. `df` is read once."""
-    rows = message_id(stored(told_apart(df, **ids).select(*dict.fromkeys(columns), "_key", "_nid", F.monotonically_increasing_id().alias("_row"))))
+def _ranked(df: DataFrame, columns, **ids) -> tuple[DataFrame, int]:
+    """(`columns` of all rows with ``_mid``, ``_s`` (see :func:`_spread`) and ``_many``: null where the message has one copy; from how many rows on an id is hot). `df` is read once."""
+    told = stored(told_apart(df, **ids).select(*dict.fromkeys(columns), "_key", "_nid", F.monotonically_increasing_id().alias("_row")))
+    most = max(HOT, told.count() // HOT_IDS)
+    rows = message_id(told, most)
     counts = rows.groupBy("_mid").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    many = _for_all_pieces(counts).withColumn("_many", F.lit(True))
-    return _spread(rows, "_mid", counts).join(many, ["_mid", "_s"], "left")
+    many = _for_all_pieces(counts, most).withColumn("_many", F.lit(True))
+    return _spread(rows, "_mid", counts, most).join(many, ["_mid", "_s"], "left"), most
 
 
-def _first(copies: DataFrame, order: tuple[str, ...]) -> DataFrame:
+def _first(copies: DataFrame, order: tuple[str, ...], most: int) -> DataFrame:
     """The least copy of each message by `order`, for each piece of it; combined before the shuffle. Null order values come first."""
-    return _for_all_pieces(copies.groupBy("_mid").agg(F.min(F.struct(*order, "_row")).alias("_first"), F.count(F.lit(1)).alias("_n")))
+    return _for_all_pieces(copies.groupBy("_mid").agg(F.min(F.struct(*order, "_row")).alias("_first"), F.count(F.lit(1)).alias("_n")), most)
 
 
 def surplus(df: DataFrame, order=("received_at", "path", "line_number"), seen: DataFrame | None = None, columns=None, **ids) -> DataFrame:
@@ -106,9 +109,9 @@ def surplus(df: DataFrame, order=("received_at", "path", "line_number"), seen: D
     Empty input: empty result. `columns` (all by default) are those that come out.
     """
     columns = tuple(columns or df.columns)
-    rows = _ranked(df, (*columns, *order), **ids)
+    rows, most = _ranked(df, (*columns, *order), **ids)
     copies = stored(rows.where("_many").select(*dict.fromkeys((*columns, *order)), "_mid", "_s", "_row"))
-    out = copies.join(_first(copies, order), ["_mid", "_s"]).where(F.col("_row") != F.col("_first._row")).select(*columns)
+    out = copies.join(_first(copies, order, most), ["_mid", "_s"]).where(F.col("_row") != F.col("_first._row")).select(*columns)
     if seen is None:
         return out
     kept = keep_one(df, order, **ids)
@@ -122,7 +125,7 @@ def keep_one(df: DataFrame, order=("received_at", "path", "line_number"), seen:
     if seen is not None:
         told = told_apart(keep_one(df, order, **ids), **ids)
         return told.where("_seq is null").select(*columns).unionByName(_covered(told.where("_seq is not null"), seen, "left_anti").select(*columns))
-    rows = _ranked(df, (*columns, *order), **ids)
+    rows, _ = _ranked(df, (*columns, *order), **ids)
     single = rows.where(F.col("_many").isNull()).select(*columns)
     copies = rows.where("_many").drop("_many")
     best = copies.groupBy("_mid").agg(F.min_by(F.struct(*columns), F.struct(*order, "_row")).alias("_best")).select("_best.*")

@@ -66,6 +66,15 @@ def _number(v):
     return x if x is not None and math.isfinite(x) else None
 
 
+def _floats(values: set) -> set:
+    """The finite ones of some numbers."""
+    try:
+        out = set(map(float, values))
+    except OverflowError:
+        return {x for x in map(_number, values) if x is not None}
+    return out if math.isfinite(sum(out)) else {x for x in out if math.isfinite(x)}
+
+
 class _Texts(dict):
     """What a string is: (number or None, hash). Strings come again and again."""
 
@@ -106,7 +115,7 @@ class Profile(NamedTuple):
         """Of the values of a field in some records."""
         kinds = {_KINDS.get(t, "o") for t in set(map(type, values))} - {""}
         if kinds <= {"n"}:
-            numbers, texts = {x for x in map(_number, set(values)) if x is not None}, set()
+            numbers, texts = _floats(set(values) - {None}), set()
         else:
             each = set(values) if "o" not in kinds else {v if kind_of(v) != "o" else json.dumps(v, sort_keys=True) for v in values}
             numbers, texts = set(), set()

@@ -45,7 +45,7 @@ def confusables(spark) -> tuple[tuple[str, str], ...]:
     checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
     skeletons = lambda chars: checker.getSkeleton(0, "\n".join(chars)).split("\n")
     latin = {(k, U.category(c)): c for c, k in zip(string.ascii_letters, skeletons(string.ascii_letters))}
-    others = [c for c in map(chr, range(0x80, 0x20000)) if U.category(c) in ("Lu", "Ll", "Lo") and not U.decomposition(c) and not U.name(c, "").startswith("LATIN")]
+    others = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if U.category(c) in ("Lu", "Ll", "Lo") and not U.decomposition(c) and not U.name(c, "").startswith("LATIN")]
     pairs = ((c, latin.get((k, "Lu" if U.category(c) == "Lo" else U.category(c)))) for c, k in zip(others, skeletons(others)))
     return tuple((c, to) for c, to in pairs if to and c not in LOOSE)
 

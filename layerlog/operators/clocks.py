@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import shielded
 from ..functions.instants import US, explicit, fixed, in_zone, with_written, zones
 
 SLACK_US = 300 * US
@@ -37,6 +38,7 @@ def estimate_zones(free: DataFrame, devices: DataFrame) -> DataFrame:
     return ranked.groupBy("device_id").agg(F.min_by("zone", F.struct("cost", F.coalesce("delay", F.lit(0.0)), "zone")).alias("zone"))
 
 
+@shielded
 def true_instants(events: DataFrame, devices: DataFrame) -> DataFrame:
     """`events` with ``event_us``, the instant that device_ts_raw denotes (null if it is unreadable), and ``time_basis``: 'offset' (genA, by
     the clock offset), 'written' (its own zone), 'estimated' (zone of the device).

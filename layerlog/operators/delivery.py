@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import shielded
 from ..functions.instants import fixed
 from ..session import cut, stored
 
@@ -102,6 +103,7 @@ def _first(copies: DataFrame, order: tuple[str, ...], most: int) -> DataFrame:
     return _for_all_pieces(copies.groupBy("_mid").agg(F.min(F.struct(*order, "_row")).alias("_first"), F.count(F.lit(1)).alias("_n")), most)
 
 
+@shielded
 def surplus(df: DataFrame, order=("received_at", "path", "line_number"), seen: DataFrame | None = None, columns=None, **ids) -> DataFrame:
     """The rows that go: every copy but the first by `order`, and, where `seen` gives ranges of sequence numbers (_producer, lo, hi), every copy of those.
 
@@ -119,6 +121,7 @@ def surplus(df: DataFrame, order=("received_at", "path", "line_number"), seen: D
     return out.unionByName(_covered(told, seen, "left_semi").select(*columns))
 
 
+@shielded
 def keep_one(df: DataFrame, order=("received_at", "path", "line_number"), seen: DataFrame | None = None, columns=None, **ids) -> DataFrame:
     """The rows that stay, exactly one for each message (see :func:`surplus`)."""
     columns = tuple(columns or df.columns)
@@ -171,6 +174,7 @@ def accept_sequences(batch: DataFrame, seen: DataFrame, order=("received_at", "p
     return fresh, state
 
 
+@shielded
 def accept_batch(batch: DataFrame, seen: DataFrame, known: DataFrame, key: str, producer: str, order=("received_at", "path", "line_number"), rest=REST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One batch of a stream with identifiers of any kind: (accepted rows, new ranges, new ids). Each message is accepted once over all batches.
 

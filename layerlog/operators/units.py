@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import shielded
 from ..functions.unitlabels import readings
 
 #: name -> (slope, intercept) to °C
@@ -74,6 +75,7 @@ def to_celsius(x: Column, unit: Column) -> Column:
     return out
 
 
+@shielded
 def status_units(events: DataFrame) -> DataFrame:
     """Status rows with ``unit`` (true unit: C, F, K or dC), ``label_unit`` (what the label says) and bed_c, nozzle_c, target_bed_c, target_nozzle_c.
 

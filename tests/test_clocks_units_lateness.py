@@ -44,6 +44,21 @@ def test_zone_is_estimated_from_receipts(spark):
     assert all(abs((r.received_at.replace(tzinfo=UTC) - dt.datetime(1970, 1, 1, tzinfo=UTC)).total_seconds() * 1e6 - r.event_us) <= 180e6 for r in got)
 
 
+def test_history_of_zones(spark):
+    rows, want = [], {}
+    zone = {"moved": lambda k: 11 if k < 300 else -4, "stays": lambda k: 11, "told": lambda k: -4, "few": lambda k: -4 if k < 295 else 11}
+    for d, hours in zone.items():
+        for k in range(600 if d == "moved" else 300):
+            at = dt.datetime(2025, 10, 10) + dt.timedelta(minutes=29 * k)
+            rows.append(("p", len(rows), "genC", d, f"{at + dt.timedelta(hours=hours(k)):%Y-%m-%d %H:%M:%S}", (at + dt.timedelta(minutes=2)).replace(tzinfo=UTC), None, None, ""))
+            want[len(rows) - 1] = int((at.replace(tzinfo=UTC) - dt.datetime(1970, 1, 1, tzinfo=UTC)).total_seconds() * 1e6)
+    devices = spark.createDataFrame([("x", "Australia/Sydney"), ("y", "America/New_York"), ("z", "Asia/Kolkata"), ("told", "America/New_York"), ("few", "America/New_York")], "device_id string, tz_name string")
+    got = {r.line_number: (r.device_id, r.event_us) for r in clocks.true_instants(spark.createDataFrame(rows, EVENTS), devices).collect()}
+    wrong = [(d, k) for k, (d, us_) in got.items() if us_ != want[k]]
+    # the day of the move may go to either side; a handful of odd times is no move
+    assert {d for d, _ in wrong} <= {"moved", "few"} and sum(d == "moved" for d, _ in wrong) <= 50 and sum(d == "few" for d, _ in wrong) == 5
+
+
 def test_labels():
     for label, want in {"C": ("C", 0), "°C": ("C", 0), " degC ": ("C", 0), "celsius": ("C", 0), "K": ("K", 0), "kelvin": ("K", 0), "deg F": ("F", 0), "fahrenheit": ("F", 0), "dC": ("C", -1), "C/10": ("C", -1), "0.1 C": ("C", -1), "decicelsius": ("C", -1), "c": ("C", 0), "℃": ("C", 0), "mK": ("K", -3)}.items():
         assert read_label(label) == want, label

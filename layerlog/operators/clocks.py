@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import shielded
 from ..functions.instants import US, explicit, fixed, in_zone, with_written, zones
-from ..session import cut
+from ..session import cut, stored
 
 SLACK_US = 300 * US
 DELAY_US = 30 * 86_400 * US
@@ -114,7 +114,7 @@ def true_instants(events: DataFrame, devices: DataFrame) -> DataFrame:
     rows = fixed(rows, event_us=own, _shifted=shifted).withColumn("time_basis", F.when(F.col("_shifted"), "offset").when(F.col("event_us").isNotNull(), "written")).drop("_shifted")
     open_ = F.coalesce(F.col("event_us").isNull() & (F.col("_zone") == ""), F.lit(False))
     done = rows.where(~open_).drop("_us", "_zone")
-    free = rows.where(open_)
+    free = stored(rows.where(open_))  # few rows, read three times below
     us, received = F.col("_us").alias("us"), F.unix_micros("received_at").alias("received_us")
     one, by_day = estimate_zones(free.select("device_id", us, received), devices)
     day = F.floor(F.coalesce(F.unix_micros("received_at"), F.col("_us")) / (86_400 * US)).cast("long")

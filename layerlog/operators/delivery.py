@@ -175,16 +175,17 @@ def accept_sequences(batch: DataFrame, seen: DataFrame, order=("received_at", "p
 
 
 @shielded
-def accept_batch(batch: DataFrame, seen: DataFrame, known: DataFrame, key: str, producer: str, order=("received_at", "path", "line_number"), rest=REST) -> tuple[DataFrame, DataFrame, DataFrame]:
+def accept_batch(batch: DataFrame, seen: DataFrame, known: DataFrame, key: str, producer: str, order=("received_at", "path", "line_number"), rest=REST, columns=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One batch of a stream with identifiers of any kind: (accepted rows, new ranges, new ids). Each message is accepted once over all batches.
 
     `seen` holds the ranges (_producer, lo, hi), `known` the digests (_key, _nid) of key and natural id of all earlier messages; the third result
     is to be added to it. A null key is looked up by the natural id (`producer` and `rest`): a row whose natural id is known goes, else it belongs to the
     least key of its batch with that natural id, else it stands for itself. If a message was accepted without a key, the first key to come with its
-    natural id (the least one in a batch) is its own, and goes.
+    natural id (the least one in a batch) is its own, and goes. `columns` (all by default) are those that come out.
     """
-    cols = batch.columns
-    rows = stored(told_apart(batch, key, producer, rest))
+    out = tuple(columns or batch.columns)
+    cols = list(dict.fromkeys((*out, *order)))
+    rows = stored(told_apart(batch, key, producer, rest).select(*cols, "_producer", "_seq", "_key", "_nid"))
     keyed, bare = rows.where("_key is not null"), rows.where("_key is null").select(*cols, "_nid")
     least = keyed.join(bare.select("_nid").distinct(), "_nid", "left_semi").groupBy("_nid").agg(F.min(F.struct("_key", "_producer", "_seq")).alias("_least"))
     bare = bare.join(known.select("_nid").distinct(), "_nid", "left_anti").join(least, "_nid", "left").select(*cols, "_nid", "_least.*")
@@ -197,19 +198,19 @@ def accept_batch(batch: DataFrame, seen: DataFrame, known: DataFrame, key: str,
 
     waiting = known.groupBy("_nid").agg(F.count("_key").alias("_n")).where("_n = 0").select("_nid")
     late = keyed.join(waiting, "_nid", "left_semi").groupBy("_nid").agg(F.min("_key").alias("_key")).select("_key").distinct()
-    fresh = numbered.unionByName(exact).join(late, "_key", "left_anti").select(*cols)
+    fresh = numbered.unionByName(exact).join(late, "_key", "left_anti").select(*out)
     return fresh, ranges, told.select("_key", "_nid").distinct().join(known, ["_key", "_nid"], "left_anti")
 
 
 RANGES, IDS = "_producer struct<p:string,s:string,w:int>, lo bigint, hi bigint", "_key binary, _nid binary"
 
 
-def accept_all(batches: list[DataFrame], key: str, producer: str, order=("received_at", "path", "line_number"), rest=REST) -> DataFrame:
+def accept_all(batches: list[DataFrame], key: str, producer: str, order=("received_at", "path", "line_number"), rest=REST, columns=None) -> DataFrame:
     """The accepted rows of several batches, one after the other, as a stream would accept them."""
     spark = batches[0].sparkSession
     seen, known, out = spark.createDataFrame([], RANGES), spark.createDataFrame([], IDS), None
     for k, batch in enumerate(batches):
-        fresh, ranges, ids = accept_batch(batch, seen, known, key, producer, order, rest)
+        fresh, ranges, ids = accept_batch(batch, seen, known, key, producer, order, rest, columns)
         if k + 1 < len(batches):
             seen, known = cut(ranges), cut(known.unionByName(ids))
         out = fresh if out is None else out.unionByName(fresh)

@@ -51,7 +51,7 @@ def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
     at = F.coalesce(F.to_date("received_at"), F.lit("2025-01-01").cast("date"))
     edges = ("1970-01-01", "2025-10-24", "2025-10-29", "9999-01-01")
     batches = [e.where((at >= F.lit(a).cast("date")) & (at < F.lit(b).cast("date"))) for a, b in zip(edges, edges[1:])]
-    return delivery.accept_all(batches, "id", "device_id").select(*ID)
+    return delivery.accept_all(batches, "id", "device_id", columns=ID)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
